@@ -118,31 +118,41 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     narrow = materialize(marked.select("page", "sha", "size", "_order"), "warc-digests")
     large = narrow.filter(F.col("size") >= revisit_from).select("page", "sha", "_order")
     shared = materialize(large.groupBy("sha").agg(F.max("page").alias("response"), F.count("*").alias("key_rows")).filter("key_rows > 1"), "warc-payloads")
-    revisits = hot_join(large, shared, "sha").filter(~F.col("page").eqNullSafe(F.col("response"))).select(F.col("_order").alias("_o"), F.col("sha").alias("_s"), "response").distinct()
+    revisits = hot_join(large, shared, "sha").filter(~F.col("page").eqNullSafe(F.col("response"))).select("_order", "sha", "response").distinct()
     total = narrow.agg(F.coalesce(F.sum(F.col("size") + 512), F.lit(0))).first()[0]
     bounds = range_bounds(narrow, "_order", F.col("size") + 512, max(1, -(-int(total) // shard_bytes)))
-    joined = marked.join(revisits, (F.col("_order") == F.col("_o")) & (F.col("sha") == F.col("_s")), "left")
-    dealt = joined.select(range_of(F.col("_order"), bounds).alias("shard"), "_order", "page", "url", "html", F.col("_o").isNotNull().alias("revisit"), "response")
-    dealt = dealt.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "_order", "url", "html")
+    # Marks of revisits travel with the pages, so the payloads are shuffled once.
+    shard = range_of(F.col("_order"), bounds)
+    dealt = rows.select(shard.alias("shard"), "_order", F.lit(True).alias("is_page"), "page", "url", "html", F.lit(None).cast("binary").alias("sha"), F.lit(None).cast("long").alias("response"))
+    marks = revisits.select(shard.alias("shard"), "_order", F.lit(False).alias("is_page"), F.lit(None).cast("long").alias("page"), F.lit("").alias("url"), F.lit("").alias("html"), "sha", "response")
+    dealt = dealt.unionByName(marks).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "_order", "is_page", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         current: _File | None = None
+        marked_at, responses = None, {}
         for batch in batches:
             done = []
-            for shard, page, u, h, revisit, response in zip(*(batch.column(c).to_pylist() for c in ("shard", "page", "url", "html", "revisit", "response")), strict=True):
+            for shard, order, is_page, page, u, h, sha, response in zip(*(batch.column(c).to_pylist() for c in ("shard", "_order", "is_page", "page", "url", "html", "sha", "response")), strict=True):
+                if order != marked_at:
+                    marked_at, responses = order, {}
+                if not is_page:
+                    responses[sha] = response
+                    continue
+                payload = h.encode()
+                refers_to = responses.get(hashlib.sha1(payload).digest()) if responses else None
                 if current and (current.shard != shard or current.size >= roll_bytes):
                     done.append(current.commit())
                     current = _File(store, path, shard, current.number + 1 if current.shard == shard else 0)
                 current = current or _File(store, path, shard, 0)
-                current.add(page_record(page, u, h.encode(), response, revisit))
+                current.add(page_record(page, u, payload, refers_to, refers_to is not None))
             if done:
                 yield _rows(done, MANIFEST)
         if current:
             yield _rows([current.commit()], MANIFEST)
 
-    dealt.drop("_order").mapInArrow(write, MANIFEST).write.parquet(f"{folder}/_manifest")
+    dealt.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/_manifest")
     return read_manifest(pages.sparkSession, folder)
 
 
