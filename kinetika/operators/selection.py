@@ -215,3 +215,15 @@ def boruta_feature_stats(spark: SparkSession, selector: BorutaSelector, run: int
         v = r.history[:, i][np.isfinite(r.history[:, i])]
         rows.append((name, *((float(v.mean()), float(np.median(v)), float(v.min()), float(v.max())) if len(v) else (None,) * 4), float(r.hits[i] / max(len(r.history), 1)), r.decisions[i], r.rough_decisions[i]))
     return spark.createDataFrame(rows, "feature string, meanImp double, medianImp double, minImp double, maxImp double, normHits double, decision string, roughFixedDecision string").orderBy(F.col("medianImp").desc_nulls_last(), "feature")
+
+
+def stability_rollup(history: DataFrame, confirm_share: float = 0.5) -> DataFrame:
+    """feature, median_imp, n_confirmed, selection_freq, norm_hits from rows of (run, feature, importance, hit).
+
+    Medians are taken within each run, then over runs; a run confirms a feature if its share of hits reaches ``confirm_share``. Two
+    aggregations, so histories of any number of runs and features can be summarised.
+    """
+    importance = F.when(~F.isnan("importance") & (F.abs("importance") < float("inf")), F.col("importance"))
+    runs = history.groupBy("run", "feature").agg(F.median(importance).alias("m"), (F.count_if("hit") / F.count("*")).alias("share"))
+    sure = F.col("share") >= confirm_share
+    return runs.groupBy("feature").agg(F.median("m").alias("median_imp"), F.count_if(sure).alias("n_confirmed"), F.avg(sure.cast("double")).alias("selection_freq"), F.avg("share").alias("norm_hits"))

@@ -423,3 +423,123 @@ def boruta_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "labels").join(docs, "doc_id").orderBy("doc_id").limit(400)  # Boruta takes a table of entities whole
     chosen = selection.BorutaSelector(["n_chars", "capitals", "marks", "noise"], n_repeats=4, n_estimators=20, max_iter=15, random_state=5).fit(rows, "quality")
     return chosen.stability_.select("feature", "selection_freq", "n_confirmed", "n_tentative", "n_rejected", "selected", "cluster")
+
+
+@_query(
+    "WITH m AS (SELECT avg(value) FILTER (user_id % 2 = 0) AS a, stddev_samp(value) FILTER (user_id % 2 = 0) AS s, min(value) AS n FROM events) SELECT event_id, "
+    + _r("(value - a) / s - (n - a) / s", "value")
+    + " FROM events, m"
+)
+def normalise_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return _rounded(normalisation.ZScoreShiftNormalizer(["value"]).fit(events.filter("user_id % 2 = 0")).transform(events).drop("user_id"))
+
+
+@_query(
+    """
+WITH b AS (
+    SELECT user_id, value - avg(value) OVER (PARTITION BY user_id) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events
+), k AS (
+    SELECT DISTINCT user_id, n, unnest(range(1, n // 2 + 1)) AS f FROM b WHERE n >= 4
+), p AS (
+    SELECT user_id, b.n, f, (pow(sum(c * cos(2 * pi() * f * t / b.n)), 2) + pow(sum(c * sin(2 * pi() * f * t / b.n)), 2)) * CASE WHEN 2 * f = b.n THEN 1 ELSE 2 END AS power FROM b JOIN k USING (user_id) GROUP BY user_id, b.n, f
+), q AS (
+    SELECT user_id, power / sum(power) OVER (PARTITION BY user_id) AS p, count(*) OVER (PARTITION BY user_id) AS bins FROM p
+)
+SELECT user_id, round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(max(bins)) + 1e-10, 6) + 0.0 AS spectral_entropy FROM q GROUP BY user_id
+"""
+)
+def spectral_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(features.frame_features(_read(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value").select("user_id", "spectral_entropy"))
+
+
+def _levinson() -> str:
+    """The recursion over five lags, a step per common table expression."""
+    steps, weights = [], []
+    for k in range(1, 6):
+        before = " - ".join([f"r{k}", *[f"w{k - 1}_{j} * r{k - j}" for j in range(1, k)]])
+        new = f"(({before}) / v{k - 1})" if k > 1 else "r1"
+        weights = [f"w{k - 1}_{j} - {new} * w{k - 1}_{k - j} AS w{k}_{j}" for j in range(1, k)] + [f"{new} AS w{k}_{k}"]
+        steps.append(f"s{k} AS (SELECT *, {', '.join(weights)}, v{k - 1} * (1 - pow({new}, 2)) AS v{k} FROM s{k - 1})")
+    return ", ".join(steps)
+
+
+@_query(
+    "WITH b AS (SELECT user_id, event_id, value - avg(value) OVER (PARTITION BY user_id) AS c FROM events), l AS (SELECT user_id, c, "
+    + ", ".join(f"c * lag(c, {k}) OVER w AS p{k}" for k in range(1, 6))
+    + " FROM b WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), s0 AS (SELECT user_id, CAST(1.0 AS DOUBLE) AS v0, "
+    + ", ".join(f"sum(p{k}) / sum(c * c) AS r{k}" for k in range(1, 6))
+    + " FROM l GROUP BY user_id), "
+    + _levinson()
+    + " SELECT user_id, "
+    + _r(" + ".join(f"pow(w{k}_{k}, 2)" for k in range(1, 6)), "pacf5_sumsq")
+    + " FROM s5"
+)
+def partial_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(features.frame_features(_read(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value").select("user_id", "pacf5_sumsq"))
+
+
+@_query("WITH g AS (SELECT o_custkey, count(DISTINCT o_orderstatus) + max(CASE WHEN o_orderstatus IS NULL THEN 1 ELSE 0 END) AS a, count(DISTINCT o_custkey % 7) AS b FROM orders GROUP BY o_custkey) SELECT 'o_orderstatus' AS column_name, max(a) <= 1 AS constant FROM g UNION ALL SELECT 'bucket', max(b) <= 1 FROM g")
+def constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import warnings
+
+    orders = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", (F.col("o_custkey") % 7).alias("bucket"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        kept = reshape.resolve_id_vars(orders, ["o_orderstatus", "bucket"], "o_custkey")
+    return spark.createDataFrame([(c, c in kept) for c in ("o_orderstatus", "bucket")], "column_name string, constant boolean")
+
+
+_BASIS = (0.02, 0.5, 1.5, 0.8)
+
+
+@_query(
+    "WITH x AS (SELECT l_quantity * 0.02 AS a, l_extendedprice * 1e-5 AS b, l_discount * 10.0 AS c, l_tax * 12.0 AS d FROM lineitem), w AS (SELECT *, greatest(0, (a * 0.02 + b * 0.5 + c * 1.5 + d * 0.8) / "
+    + repr(sum(v * v for v in _BASIS))
+    + ") AS w FROM x), e AS (SELECT unnest([a, b, c, d]) AS x, unnest([a - w * 0.02, b - w * 0.5, c - w * 1.5, d - w * 0.8]) AS e FROM w) SELECT unnest(['RMSE', 'NRMSE', 'MAE', 'R2']) AS metric, round(unnest([sqrt(avg(e * e)), sqrt(avg(e * e)) / (max(x) - min(x)), avg(abs(e)), 1 - sum(e * e) / (var_pop(x) * count(*))]) + 1e-10, 6) + 0.0 AS value FROM e"
+)
+def reconstruction_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of a given basis of rank one, whose least squares have a closed form."""
+    import numpy as np
+
+    model = nmf.NMFDecomposer(1)
+    model.columns_, model.components_ = [f"smth_{c}" for c in SIGNALS], np.array([_BASIS])
+    return _rounded(nmf.nmf_reconstruction_error(model, _matrix(spark, sf_dir)))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # orders stand for (run, iteration, feature): an importance each, missing where a feature is rejected
+    return _read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).cast("int").alias("run"), F.col("o_orderpriority").alias("feature"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice") / 1000).alias("importance"), (F.col("o_custkey") % 5 == F.col("o_orderkey") % 5).alias("hit"))
+
+
+@_query(
+    "WITH h AS (SELECT o_orderkey % 5 AS run, o_orderpriority AS feature, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice / 1000 END AS importance, o_custkey % 5 = o_orderkey % 5 AS hit FROM orders), r AS (SELECT run, feature, median(importance) AS m, count(*) FILTER (hit) / CAST(count(*) AS DOUBLE) AS share FROM h GROUP BY run, feature) SELECT feature, "
+    + _r("median(m)", "median_imp")
+    + ", count(*) FILTER (share >= 0.2) AS n_confirmed, "
+    + _r("avg(CASE WHEN share >= 0.2 THEN 1.0 ELSE 0.0 END)", "selection_freq")
+    + ", "
+    + _r("avg(share)", "norm_hits")
+    + " FROM r GROUP BY feature"
+)
+def stability_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(selection.stability_rollup(_history(spark, sf_dir), 0.2))
+
+
+@_query(
+    "WITH c AS (SELECT l_discount AS threshold, avg(l_tax) AS m, stddev_samp(l_tax) / sqrt(count(*)) AS se FROM lineitem GROUP BY l_discount), b AS (SELECT m AS bm, se AS bse FROM c ORDER BY m DESC, threshold LIMIT 1) SELECT max(threshold) AS one_se, (SELECT threshold FROM c ORDER BY m DESC, threshold LIMIT 1) AS best FROM c, b WHERE m >= bm - bse"
+)
+def one_se_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("threshold"), F.col("l_quantity").alias("n_features"), F.col("l_tax").alias("score"))
+    curve = [r.asDict() for r in tuning.curve_of(rows).orderBy("threshold").collect()]  # a row per threshold
+    return spark.createDataFrame([(tuning.select_threshold(curve, "one_se"), tuning.select_threshold(curve, "best"))], "one_se double, best double")
+
+
+@_query("SELECT feature, n, CASE WHEN k >= 17 THEN 'Confirmed' WHEN k <= 3 THEN 'Rejected' ELSE 'Tentative' END AS decision FROM (SELECT 'f' || n_nationkey AS feature, CAST(20 AS INTEGER) AS n, n_nationkey % 21 AS k FROM nation)")
+def binomial_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty rounds, with a nation's key as its hits; alpha leaves 17 or more, and 3 or fewer, significant after correction."""
+    import numpy as np
+
+    rows = _read(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()
+    hits = np.array([r[0] % 21 for r in rows])
+    decided = selection.do_tests(np.full(len(rows), selection.TENTATIVE, object), hits, 20, 0.0014 * len(rows))
+    return spark.createDataFrame([(f"f{r[0]}", 20, str(d)) for r, d in zip(rows, decided, strict=True)], "feature string, n int, decision string")
