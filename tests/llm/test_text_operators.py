@@ -132,7 +132,7 @@ def brute_classes(rows, threshold=0.8):
 
 
 def test_join_finds_every_link(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 16)  # the group of near copies takes several blocks
+    monkeypatch.setattr(ngram_join, "LEAST_BLOCK", 16)  # the group of near copies takes several blocks
     rows = corpus()
     df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows] + [(None, "two words", "x", 1)], "doc_id long, text string, digest string, rep int")
     out = ngram_join.join_ngrams(df).collect()
@@ -151,6 +151,14 @@ def test_join_of_repeated_rows_and_empty_tables(spark):
     assert sorted({r.doc_id for r in kept.collect()}) == [1, 3] and kept.columns == ["doc_id", "text", "rep"]
 
 
+def test_shared_counts():
+    rng = np.random.default_rng(0)
+    for count, size, values in ((40, 30, 200), (40, 30, 60), (5, 4, 10), (1, 3, 5)):
+        sets = [np.unique(rng.integers(0, values, size).astype(np.uint64)) for _ in range(count)]
+        found = ngram_join._shared_counts(sets)
+        assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(count) for j in range(count) if i != j)
+
+
 def test_prefixes_shorten_until_the_recall():
     d = ngram_join.prefix_length(0.8, 40, 16, 0.999)
     assert 1 - (1 - 0.8**d) ** 40 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 40 and ngram_join.prefix_length(0.8, 1, 16, 0.999) == 1
