@@ -30,9 +30,24 @@ def _need(df: DataFrame, *columns: str) -> None:
 
 
 def _first_ranked(keys: DataFrame, key: str, part: float, seed: int | None) -> DataFrame:
-    """The first floor(part x n) of distinct ``keys`` in the seeded order; a top-n, so no partition holds all."""
-    count = keys.count()
-    return keys.withColumn("_rank", seeded_order(F.col(key), seed)).orderBy("_rank", key).limit(math.floor(part * count + 1e-9)).select(key)
+    """The first floor(part x n) of distinct ``keys`` in the seeded order.
+
+    Keys are counted by the first four digits of their hash, at most 65,536 counts; whole cells are taken below the cell that holds the
+    last one, and only that cell is sorted.
+    """
+    ranked = keys.withColumn("_rank", seeded_order(F.col(key), seed)).withColumn("_cell", F.substring("_rank", 1, 4))
+    cells = sorted(ranked.groupBy("_cell").count().collect())
+    wanted = math.floor(part * sum(r["count"] for r in cells) + 1e-9)
+    edge, left = "", wanted
+    for r in cells:
+        edge = r._cell
+        if r["count"] > left:
+            break
+        left -= r["count"]
+    else:
+        return keys if cells and wanted else keys.limit(0)
+    whole = ranked.filter(F.col("_cell") < edge)
+    return whole.unionByName(ranked.filter(F.col("_cell") == edge).orderBy("_rank", key).limit(left)).select(key)
 
 
 def group_train_test_split(df: DataFrame, train_size: float = 0.8, random_state: int | None = None, video_col: str = "video_filename") -> tuple[DataFrame, DataFrame]:
@@ -179,6 +194,20 @@ class RepeatedStratifiedGroupKFold:
 
 
 def stratified_folds(df: DataFrame, label_col: str, key: str, n_splits: int, seed: int | None) -> DataFrame:
-    """``df`` with ``fold``: rows of each label dealt evenly in a seeded order of ``key``."""
-    order = Window.partitionBy(label_col).orderBy(seeded_order(F.col(key), seed), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(n_splits)))
+    """``df`` with ``fold``: rows of each label dealt evenly in a seeded order of ``key``.
+
+    Rows are numbered within 4,096 cells of the hash, after the counts of the cells before, so no task holds a whole label.
+    """
+    rank = seeded_order(F.col(key), seed)
+    ranked = df.withColumns({"_rank": rank, "_cell": F.substring(rank, 1, 3)})
+    offsets: list[tuple] = []
+    seen: dict = {}
+    for r in sorted(ranked.groupBy(label_col, "_cell").count().collect(), key=lambda r: r[1]):  # labels x 4,096 rows at most
+        offsets.append((r[0], r[1], seen.get(r[0], 0)))
+        seen[r[0]] = seen.get(r[0], 0) + r[2]
+    kind = df.schema[label_col].dataType.simpleString()
+    first = df.sparkSession.createDataFrame(offsets, f"_label {kind}, _of string, _first long")
+    order = Window.partitionBy(label_col, "_cell").orderBy("_rank", key)
+    numbered = ranked.withColumn("_row", F.row_number().over(order))
+    joined = numbered.join(F.broadcast(first), numbered[label_col].eqNullSafe(first["_label"]) & (numbered["_cell"] == first["_of"]))
+    return joined.select(*[numbered[c] for c in df.columns if c != "fold"], F.pmod(F.col("_first") + F.col("_row") - 1, F.lit(n_splits)).cast("int").alias("fold"))

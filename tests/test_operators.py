@@ -166,6 +166,18 @@ def test_group_folds(spark):
         folds.assign(frame, "isfakeorreal", None)
 
 
+def test_stratified_folds_are_even(spark):
+    frame = spark.range(103).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("y"))
+    made = splitting.stratified_folds(frame, "y", "k", 4, 1)
+    counts = {}
+    for r in made.groupBy("y", "fold").count().collect():
+        counts.setdefault(r.y, []).append(r["count"])
+    assert made.count() == 103 and all(len(v) == 4 and max(v) - min(v) <= 1 for v in counts.values())
+    half, rest = K.group_train_test_split(frame, 0.5, 2, "k")
+    assert (half.count(), rest.count()) == (51, 52)
+    assert K.group_train_test_split(frame, 1.0, 2, "k")[1].count() == 0 and K.group_train_test_split(frame, 0.0, 2, "k")[0].count() == 0
+
+
 def test_nmf(spark):
     rng = np.random.default_rng(0)
     x = rng.random((200, 3)) @ rng.random((3, 8)) + rng.random((200, 8)) * 0.01
