@@ -109,7 +109,7 @@ def _draw(frame, kind: str, title: str, save_path: str | None, output_dir: str |
 def plot_smoothing_comparison(df, video, column, layout: str = "stacked", save_path=None, output_dir=None, dpi=300, **names):
     if layout not in ("stacked", "overlay"):
         raise ValueError("layout must be 'stacked' or 'overlay'")
-    return _draw(smoothing_comparison_data(df, video, column, **names).toPandas(), "line", video, save_path, output_dir, dpi, x=names.get("frame_col", "frame"), subplots=False)
+    return _draw(smoothing_comparison_data(df, video, column, **names).toPandas(), "line", video, save_path, output_dir, dpi, x=names.get("frame_col", "frame"), subplots=layout == "stacked")
 
 
 def plot_nmf_rank_cv(sweep, save_path=None, output_dir=None, dpi=300):

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetika.functions import forest, stats
@@ -227,3 +227,24 @@ def stability_rollup(history: DataFrame, confirm_share: float = 0.5) -> DataFram
     runs = history.groupBy("run", "feature").agg(F.median(importance).alias("m"), (F.count_if("hit") / F.count("*")).alias("share"))
     sure = F.col("share") >= confirm_share
     return runs.groupBy("feature").agg(F.median("m").alias("median_imp"), F.count_if(sure).alias("n_confirmed"), F.avg(sure.cast("double")).alias("selection_freq"), F.avg("share").alias("norm_hits"))
+
+
+def importance_top_k(df: DataFrame, label_col: str, feature_columns: list[str], k: int = 8, n_seeds: int = 20, n_estimators: int = 500, importance: str = "permutation", random_state: int = 0) -> DataFrame:
+    """feature, n_top, top_freq, mean_imp: how often a forest of another seed puts a feature among its ``k`` most important.
+
+    Held against ``BorutaSelector.stability_``, it shows what a single ranking hides. A seed is a task; the table is bounded as for Boruta.
+    """
+    if df.count() * len(feature_columns) > MOST_VALUES:
+        raise ValueError(f"the table has more than {MOST_VALUES} values")
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in feature_columns]).alias("x"), F.col(label_col).cast("string").alias("y")).collect()
+    shared = df.sparkSession.sparkContext.broadcast((np.array([r.x for r in rows], float), np.array([r.y for r in rows])))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for seed in frame["seed"]:
+                found = forest.importance(*shared.value, n_estimators, None, int(seed), importance)
+                yield pd.DataFrame({"seed": seed, "feature": feature_columns, "imp": found})
+
+    seeds = df.sparkSession.createDataFrame([(random_state + i,) for i in range(n_seeds)], "seed int").repartition(n_seeds)
+    ranked = seeds.mapInPandas(run, "seed int, feature string, imp double").withColumn("_rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("imp"), "feature")))
+    return ranked.groupBy("feature").agg(F.count_if(F.col("_rank") <= k).alias("n_top"), F.avg((F.col("_rank") <= k).cast("double")).alias("top_freq"), F.avg("imp").alias("mean_imp")).orderBy(F.desc("top_freq"), F.desc("mean_imp"), "feature")

@@ -184,6 +184,9 @@ class RepeatedStratifiedGroupKFold:
                 rows.append((repeat, g, best))
         return df.sparkSession.createDataFrame(rows, f"repeat int, `{group_col}` {df.schema[group_col].dataType.simpleString()}, fold int")
 
+    def get_n_splits(self) -> int:
+        return self.n_splits * self.n_repeats
+
     def split(self, df: DataFrame, label_col: str, group_col: str | None):
         """(repeat, fold, train, test) of every fold."""
         folds = materialize(self.assign(df, label_col, group_col), "folds")

@@ -331,8 +331,12 @@ def test_cross_validation_and_tuning(labelled):
     selector = K.BorutaSelector(["f0", "f1"], n_repeats=2, n_estimators=10, max_iter=12)
     found = K.tune_selection_threshold(labelled, "y", "pair_group", ["f0", "f1"], selector, model, positive_label="fake", thresholds=[0.0, 0.5, 1.0], n_splits=3, n_repeats=2)
     assert found.best_threshold in (0.0, 0.5, 1.0) and "f0" in found.selected_columns_ and found.curve.count() == 3 and found.per_split.count() == 6
+    confirmed = tuning.confirm_thresholds(found, labelled, labelled, "y", [0.5], model, "fake").collect()
+    assert {r.is_chosen for r in confirmed} >= {True} and all(r.roc_auc > 0.7 for r in confirmed)
     with pytest.raises(ValueError):
         K.tune_selection_threshold(labelled, "y", None)
+    top = selection.importance_top_k(labelled, "y", ["f0", "f1"], k=1, n_seeds=2, n_estimators=10).collect()
+    assert top[0].feature == "f0" and top[0].top_freq == 1 and K.RepeatedStratifiedGroupKFold(4, 2).get_n_splits() == 8
 
 
 def test_threshold_rules():
