@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetika.functions import columns as C
-from kinetika.functions.labels import au_code, au_label, pair_key
+from kinetika.functions.labels import AU_DESCRIPTIONS, au_code, au_label, pair_key
 from kinetika.operators import classifiers, cleaning, evaluation, features, nmf, normalisation, ordered, plots, reshape, selection, smoothing, splitting, tuning
 from kinetika.session import materialize
 from kinetika.streaming import windowed_features
@@ -20,6 +20,7 @@ from kinetika.streaming import windowed_features
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SIGNALS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def _query(sql: str | None = None):
@@ -110,12 +111,12 @@ def series_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "WITH t AS (SELECT user_id, event_type, avg(value) AS m, max(value) AS x FROM events GROUP BY ALL) SELECT user_id, "
-    + ", ".join(_r(f"max(CASE WHEN event_type = '{e}' THEN {c} END)", f"{n}_{e}") for n, c in (("mean", "m"), ("max", "x")) for e in ("click", "purchase"))
+    + ", ".join(_r(f"max(CASE WHEN event_type = '{e}' THEN {c} END)", f"{n}_{e}") for n, c in (("mean", "m"), ("max", "x")) for e in EVENT_TYPES)
     + " FROM t GROUP BY user_id"
 )
 def features_pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("mean"), F.max("value").alias("max"))
-    return _rounded(reshape.pivot_features_wide(rows, "user_id", "event_type", ["mean", "max"], series=["click", "purchase"]))
+    return _rounded(reshape.pivot_features_wide(rows, "user_id", "event_type", ["mean", "max"], series=EVENT_TYPES))
 
 
 def _event_features(spark: SparkSession, sf_dir: str, group: str) -> DataFrame:
@@ -340,11 +341,15 @@ def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", pair_key(F.col("name"), F.col("label")).alias("pair_group"))
 
 
-@_query("SELECT s_suppkey, CASE WHEN s_suppkey % 50 BETWEEN 1 AND 2 THEN 'AU0' || (s_suppkey % 50) WHEN s_suppkey % 50 >= 10 THEN 'AU' || (s_suppkey % 50) ELSE 'AU0' || (s_suppkey % 50) END AS code, coalesce(CASE s_suppkey % 50 WHEN 12 THEN 'AU12 - Lip Corner Puller' WHEN 1 THEN 'AU01 - Inner Brow Raiser' WHEN 45 THEN 'AU45 - Blink' END, '-') AS label FROM supplier WHERE s_suppkey % 50 IN (1, 12, 45) OR s_suppkey % 50 IN (3, 33)")
+@_query(
+    "WITH n AS (SELECT s_suppkey, 'AU' || lpad(CAST(s_suppkey % 50 AS VARCHAR), 2, '0') AS code FROM supplier) SELECT s_suppkey, code, CASE code "
+    + " ".join(f"WHEN '{code}' THEN '{code} - {text}'" for code, text in AU_DESCRIPTIONS.items())
+    + " ELSE 'smth_' || lower(code) || '_r' END AS label FROM n"
+)
 def au_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("smth_au"), F.lpad((F.col("s_suppkey") % 50).cast("string"), 2, "0"), F.lit("_r"))
-    rows = _read(spark, sf_dir, "supplier").filter((F.col("s_suppkey") % 50).isin(1, 12, 45, 3, 33)).select("s_suppkey", name.alias("name"))
-    return rows.select("s_suppkey", au_code(F.col("name")).alias("code"), F.when(au_label(F.col("name")) == F.col("name"), "-").otherwise(au_label(F.col("name"))).alias("label"))
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name"))
+    return rows.select("s_suppkey", au_code(F.col("name")).alias("code"), au_label(F.col("name")).alias("label"))
 
 
 @_query(" UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' AS other, {_r(f'abs(corr({a}, {b}))', 'abs_corr') if a != b else 'max(CAST(1.0 AS DOUBLE)) AS abs_corr'} FROM lineitem" for a in SIGNALS for b in SIGNALS))
@@ -406,8 +411,8 @@ def feature_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "embeddings").filter("label < 2")
-    return materialize(rows.select("vec_id", F.when(F.col("label") == 1, "fake").otherwise("real").alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)]), "vectors")
+    rows = _read(spark, sf_dir, "embeddings")
+    return materialize(rows.select("vec_id", F.when(F.col("label") % 2 == 1, "fake").otherwise("real").alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)]), "vectors")
 
 
 @_query()
@@ -420,7 +425,7 @@ def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def boruta_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double"), F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double").alias("capitals"), F.length(F.regexp_replace("text", "[A-Za-z ]", "")).cast("double").alias("marks"), (F.xxhash64("doc_id") % 1000).cast("double").alias("noise"))
-    rows = _read(spark, sf_dir, "labels").join(docs, "doc_id").orderBy("doc_id").limit(400)  # Boruta takes a table of entities whole
+    rows = _read(spark, sf_dir, "labels").join(docs, "doc_id")
     chosen = selection.BorutaSelector(["n_chars", "capitals", "marks", "noise"], n_repeats=4, n_estimators=20, max_iter=15, random_state=5).fit(rows, "quality")
     return chosen.stability_.select("feature", "selection_freq", "n_confirmed", "n_tentative", "n_rejected", "selected", "cluster")
 
