@@ -266,6 +266,22 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_long_white_space_is_tokenised(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    model.encode_special_tokens = True
+    texts = [(i, t) for i, t in enumerate(["a" + " " * 1_200_000 + "b <|endoftext|>", "x" + "\n" * 1_100_000, "a" + " " * 99_999 + "b", "a" + "\t" * 100_000 + "b"])]
+    out = packing.tokenize(spark.createDataFrame(texts, DOCS)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.sort_array(F.collect_list(F.struct("piece", "ids_crc32"))).alias("crc")).collect()
+    for r in out:
+        ids = np.array([*model.encode(texts[r.doc_id][1], add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        assert r.n == len(ids) and [c.ids_crc32 for c in r.crc] == [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert len(out) == len(texts)
+
+
 # --- 4: quality ----------------------------------------------------------------------------------------------------------------------
 
 
