@@ -483,6 +483,28 @@ def test_secrets(spark):
     assert secret_scan.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def random_tokens(seed, characters, lengths, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(characters) for _ in range(rng.choice(lengths))) for _ in range(n)]
+
+
+def found_random(spark, texts):
+    plain = ["aaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "abcdefghijklmnopqrstuvwxyz0123456789", "this-is-a-path-of-words-2024-01", "some/where/in-a-tree/of_many_words/2024"] * 10
+    rows = [*enumerate(texts), *((10_000 + i, t) for i, t in enumerate(plain))]
+    out = secret_scan.report(spark.createDataFrame(rows, DOCS)).collect()
+    spans = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")] for r in out}
+    assert not any(spans[10_000 + i] for i in range(len(plain)))
+    return [spans[i] for i in range(len(texts))]
+
+
+def test_secrets_after_an_equals_sign(spark):
+    tokens = random_tokens(3, secret_scan.ALPHABETS["base64"][:62], [32, 40, 64], 100)
+    forms = ["credential=%s", "AWS_SECRET_ACCESS_KEY=%s", "x == '%s'", "GET ?a=1&sig=%s&b=2", 'X-Sign: k="%s"', "pad=%s=="]
+    texts = [forms[i % len(forms)] % t for i, t in enumerate(tokens)]
+    found = found_random(spark, texts)
+    assert sum(any(a == x.index(t) and b >= a + len(t) for a, b in f) for f, x, t in zip(found, texts, tokens, strict=True)) >= 90
+
+
 # --- 10: fingerprints -----------------------------------------------------------------------------------------------------------------------
 
 
