@@ -505,6 +505,16 @@ def test_secrets_after_an_equals_sign(spark):
     assert sum(any(a == x.index(t) and b >= a + len(t) for a, b in f) for f, x, t in zip(found, texts, tokens, strict=True)) >= 90
 
 
+def test_secrets_of_other_alphabets_and_in_paths(spark):
+    lower, upper, digit = (secret_scan.ALPHABETS["base62"][a:b] for a, b in ((26, 52), (0, 26), (52, 62)))
+    for alphabet, form in ((lower + digit, "see %s there"), (upper + digit, "see %s there"), (lower + digit, "https://a.b/my-api/v1/%s/x"), (upper + lower + digit, "https://a.b/some-path/v1/%s"), (upper + lower + digit + "-_", "/one/two/%s/three")):
+        tokens = random_tokens(8, alphabet, [40, 64], 60)
+        texts = [form % t for t in tokens]
+        found = found_random(spark, texts)
+        assert sum(any(a < x.index(t) + 4 and b > x.index(t) + len(t) - 4 for a, b in f) for f, x, t in zip(found, texts, tokens, strict=True)) >= 51, (alphabet, form)
+        assert all(x[1] <= y[0] for f in found for x, y in zip(f, f[1:], strict=False) if "-_" not in alphabet)
+
+
 # --- 10: fingerprints -----------------------------------------------------------------------------------------------------------------------
 
 
