@@ -6,7 +6,9 @@ the logarithm of the labelled text's length; the language of the fewest wins. Al
 text at once, in numpy, so no character is handled alone.
 
 Training takes a bounded sample: about ``TRAIN_DOCUMENTS`` labelled documents of each language, found by a hash of the id, and
-``TRAIN_CHARACTERS`` of their letters at most. Each text is parsed whole, in blocks of ``BLOCK`` characters.
+``TRAIN_CHARACTERS`` of their letters at most. These are taken from ``PASSAGES`` parts of each document, at a place in each part that
+a hash gives, so ends count as much as openings; passages that mostly repeat others of the language are left out. Each text is parsed
+whole, in blocks of ``BLOCK`` characters.
 
 Defined results: a null text or one without letters is ``und`` with score 0; if no row is labelled, so is every text; ties go to the
 first language in order; languages beyond ``MOST_LANGUAGES`` (the rarest) aren't learned; other input columns are kept by
@@ -30,6 +32,9 @@ TRAIN_DOCUMENTS = 96
 TRAIN_CHARACTERS = 16_000
 MOST_LANGUAGES = 64
 BLOCK = 1024
+PASSAGES = 4
+#: A passage repeats others if more than half of its stretches of so many characters are known.
+REPEAT_CHARACTERS = 16
 _RARE = 1
 
 
@@ -165,13 +170,33 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return LanguageModel({})
     place = F.pmod(F.xxhash64("_k"), F.lit(1 << 30))
     picks = [(F.col("_l") == r._l) & (place < int(min(1.0, documents / r["count"]) * (1 << 30))) for r in counts]
-    short = F.substring("_t", 1, 8 * max(1, characters // documents))
-    rows = known.filter(reduce(lambda a, b: a | b, picks)).groupBy("_l", place.alias("_p"), short.alias("_s")).count().collect()  # about documents x languages
+    share = max(1, characters // (documents * PASSAGES))
+    size = F.length("_t")
+    parts = F.greatest(F.lit(1), F.least(F.lit(PASSAGES), F.floor(size / share)))
+    width = size / parts
+
+    def passage(i: Column) -> Column:
+        start = i * width + F.pmod(F.xxhash64("_k", "_t", i), F.greatest(F.lit(1), F.floor(width) - share + 1))
+        return F.substring("_t", F.floor(start).cast("int") + 1, F.lit(8 * share))
+
+    chosen = F.transform(F.sequence(F.lit(0), parts.cast("int") - 1), passage)
+    rows = known.filter(reduce(lambda a, b: a | b, picks)).select("_l", place.alias("_p"), F.posexplode(chosen).alias("_i", "_s")).distinct().collect()  # about documents x PASSAGES x languages
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r._l, r._p, r._s)):
-        if len(samples.setdefault(r._l, [])) < 2 * documents:
-            samples[r._l].append(r._s)
-    return LanguageModel(samples, characters)
+    for r in sorted(rows, key=lambda r: (r._l, r._p, r._i, r._s)):
+        samples.setdefault(r._l, []).append(r._s)
+    return LanguageModel({name: unrepeated(texts, share)[: 2 * documents * PASSAGES] for name, texts in samples.items()}, characters)
+
+
+def unrepeated(passages: list[str], share: int) -> list[str]:
+    """Passages without those whose first characters mostly stand in earlier ones; the first always stays."""
+    known: set[str] = set()
+    kept = []
+    for p in passages:
+        opening = p[: max(share, REPEAT_CHARACTERS)]
+        if sum(opening[i : i + REPEAT_CHARACTERS] in known for i in range(max(1, len(opening) - REPEAT_CHARACTERS + 1))) * 2 <= max(1, len(opening) - REPEAT_CHARACTERS + 1):
+            kept.append(p)
+            known.update(p[i : i + REPEAT_CHARACTERS] for i in range(max(1, len(p) - REPEAT_CHARACTERS + 1)))
+    return kept
 
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -424,6 +424,20 @@ def test_languages_of_held_out_texts(spark):
     assert language.identify(odd.limit(0), model).count() == 0
 
 
+def invented(language, seed, words):
+    rng, known = random.Random(seed), vocabulary(100 + language, 60)
+    return " ".join(rng.choice(known) for _ in range(words))
+
+
+def test_languages_are_learned_behind_a_shared_opening(spark):
+    header = prose(77, 300) + "\n"
+    rows = [(i, header + invented(i % 3, i, 400), f"l{i % 3}") for i in range(300)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), holdout=False)
+    texts = [invented(i % 3, 1000 + i, 60) for i in range(90)]
+    assert sum(p == f"l{i % 3}" for i, p in enumerate(model.predict(pa.array(texts))[0])) >= 88
+    assert language.unrepeated(["the same words again and on", "other words that are not known", "the same words again and on"], 20) == ["the same words again and on", "other words that are not known"]
+
+
 # --- 8: lines -------------------------------------------------------------------------------------------------------------------------------
 
 
