@@ -11,14 +11,13 @@ a hash gives, so ends count as much as openings; passages that mostly repeat oth
 whole, in blocks of ``BLOCK`` characters.
 
 Defined results: a null text or one without letters is ``und`` with score 0; if no row is labelled, so is every text; ties go to the
-first language in order; languages beyond ``MOST_LANGUAGES`` (the rarest) aren't learned; other input columns are kept by
-``keep_languages`` and ignored by ``identify``.
+first language in order; every label is learned, in tables of ``MOST_LANGUAGES`` labels each, so memory grows with their number; other
+input columns are kept by ``keep_languages`` and ignored by ``identify``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -76,10 +75,15 @@ class SuffixAutomaton:
 
 
 class LanguageModel:
-    """Automata of all languages in one table."""
+    """Automata of all languages in one table, or in blocks of ``MOST_LANGUAGES`` with a table each."""
 
     def __init__(self, samples: dict[str, list[str]], characters: int = TRAIN_CHARACTERS) -> None:
         self.languages = sorted(samples)
+        self.blocks: list[LanguageModel] = []
+        if len(samples) > MOST_LANGUAGES:
+            names = [self.languages[i : i + MOST_LANGUAGES] for i in range(0, len(samples), MOST_LANGUAGES)]
+            self.blocks = [LanguageModel({n: samples[n] for n in block}, characters) for block in names]
+            return
         letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
         self.alphabet = len(letters) + 2  # 0: a break between words, 1: a letter that was never seen
         self.letters = np.array([ord(c) for c in letters], np.int64)
@@ -115,6 +119,9 @@ class LanguageModel:
 
     def costs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Texts x languages: bits a character; and how many letters each text has."""
+        if self.blocks:
+            found = [block.costs(texts) for block in self.blocks]
+            return np.concatenate([cost for cost, _ in found], axis=1), found[0][1]
         symbols, bounds = self.encode(texts)
         counts, n = np.diff(bounds), len(self.languages)
         blocks = -(-counts // BLOCK)
@@ -165,11 +172,11 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     known = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(lang).cast("string").alias("_l")).filter(F.col("_t").isNotNull() & F.col("_l").isNotNull())
     if holdout:
         known = known.filter(~F.coalesce(held_out(F.col("_k")), F.lit(False)))
-    counts = known.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("_l").count().select("_l", (F.least(F.lit(1.0), documents / F.col("count")) * (1 << 30)).cast("long").alias("_below")).collect()
     if not counts:
         return LanguageModel({})
+    limits = F.broadcast(docs.sparkSession.createDataFrame(counts, "_l string, _below long"))
     place = F.pmod(F.xxhash64("_k"), F.lit(1 << 30))
-    picks = [(F.col("_l") == r._l) & (place < int(min(1.0, documents / r["count"]) * (1 << 30))) for r in counts]
     share = max(1, characters // (documents * PASSAGES))
     size = F.length("_t")
     parts = F.greatest(F.lit(1), F.least(F.lit(PASSAGES), F.floor(size / share)))
@@ -180,7 +187,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return F.substring("_t", F.floor(start).cast("int") + 1, F.lit(8 * share))
 
     chosen = F.transform(F.sequence(F.lit(0), parts.cast("int") - 1), passage)
-    rows = known.filter(reduce(lambda a, b: a | b, picks)).select("_l", place.alias("_p"), F.posexplode(chosen).alias("_i", "_s")).distinct().collect()  # about documents x PASSAGES x languages
+    rows = known.join(limits, "_l").filter(place < F.col("_below")).select("_l", place.alias("_p"), F.posexplode(chosen).alias("_i", "_s")).distinct().collect()  # about documents x PASSAGES x languages
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r._l, r._p, r._i, r._s)):
         samples.setdefault(r._l, []).append(r._s)

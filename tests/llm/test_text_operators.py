@@ -438,6 +438,18 @@ def test_languages_are_learned_behind_a_shared_opening(spark):
     assert language.unrepeated(["the same words again and on", "other words that are not known", "the same words again and on"], 20) == ["the same words again and on", "other words that are not known"]
 
 
+def test_every_label_is_learned(spark):
+    rows = [(i * 100 + j, invented(i, i * 100 + j, 200), f"l{i:02}") for i in range(70) for j in range(2 + (i < 64))]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), holdout=False)
+    names, score, _ = model.predict(pa.array([invented(i, 9000 + i, 80) for i in range(70)] + ["", None]))
+    assert names == [f"l{i:02}" for i in range(70)] + ["und", "und"] and (score[:70] > 0).all() and len(model.languages) == 70
+    few = {f"l{i}": [invented(i, i, 200)] for i in range(6)}
+    whole = language.LanguageModel(few)
+    parts = [language.LanguageModel({n: few[n] for n in names}) for names in (["l0", "l1", "l2"], ["l3", "l4", "l5"])]
+    texts = pa.array([invented(9, 1, 50), "été 日本", few["l4"][0]])
+    assert np.allclose(whole.costs(texts)[0], np.concatenate([p.costs(texts)[0] for p in parts], axis=1))
+
+
 # --- 8: lines -------------------------------------------------------------------------------------------------------------------------------
 
 
