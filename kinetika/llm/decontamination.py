@@ -96,14 +96,34 @@ def _candidates(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex, functi
     return out
 
 
+def _verified(texts: pa.Array, index: ItemIndex, functions: tuple[np.ndarray, np.ndarray], threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(text, item, shared shingles) of all items that a text contains to ``threshold`` or more."""
+    hashes, bounds = ta.shingles(texts)
+    sorted_text: dict[int, np.ndarray] = {}
+    for at, item in sorted(_candidates(hashes, bounds, index, functions)):
+        if at not in sorted_text:
+            sorted_text = {at: np.unique(hashes[bounds[at] : bounds[at + 1]])}
+        own, whole = index.sets[item], sorted_text[at]
+        shared = int((whole[np.minimum(np.searchsorted(whole, own), len(whole) - 1)] == own).sum())
+        if shared >= threshold * len(own) - 1e-9:
+            yield at, item, shared
+
+
+def _indexes(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, items_per_block: int) -> Iterator[object]:
+    """Broadcast indexes of the test items, block by block; one at least."""
+    wanted = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
+    blocks = max(1, -(-wanted.count() // items_per_block))
+    for i in range(blocks):
+        taken = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
+        yield docs.sparkSession.sparkContext.broadcast(ItemIndex([r.item_id for r in taken], [r.text for r in taken]))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """Pairs of a document and a test item whose shingles the document contains to ``threshold`` or more.
 
     Returns the document's key, the item's key, ``shared`` and ``item_shingles`` (int) and ``containment``.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    wanted = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
-    blocks = max(1, -(-wanted.count() // items_per_block))
     schema = "doc_id long, item_id long, shared int, item_shingles int, containment double"
 
     def scan(index_of: object):
@@ -112,29 +132,31 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k
             for batch in batches:
                 found: list[tuple] = []
                 for part in ta.slices(batch):
-                    hashes, bounds = ta.shingles(part.column("text"))
-                    sorted_text: dict[int, np.ndarray] = {}
-                    for at, item in sorted(_candidates(hashes, bounds, index, functions)):
-                        if at not in sorted_text:
-                            sorted_text = {at: np.unique(hashes[bounds[at] : bounds[at + 1]])}
-                        own, whole = index.sets[item], sorted_text[at]
-                        shared = int((whole[np.minimum(np.searchsorted(whole, own), len(whole) - 1)] == own).sum())
-                        if shared >= threshold * len(own) - 1e-9:
-                            found.append((part.column("doc_id")[at].as_py(), index.ids[item], shared, len(own), shared / len(own)))
+                    for at, item, shared in _verified(part.column("text"), index, functions, threshold):
+                        size = len(index.sets[item])
+                        found.append((part.column("doc_id")[at].as_py(), index.ids[item], shared, size, shared / size))
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], schema.replace(",", "").split()[::2])
 
         return run
 
-    def block(i: int) -> DataFrame:
-        taken = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([r.item_id for r in taken], [r.text for r in taken]))
-        return rows.mapInArrow(scan(index), schema)
-
-    found = reduce(DataFrame.unionAll, [block(i) for i in range(blocks)])
+    found = reduce(DataFrame.unionAll, [rows.mapInArrow(scan(index), schema) for index in _indexes(docs, items, item_key, item_text, items_per_block)])
     return found.withColumnRenamed("item_id", item_key).withColumnRenamed("doc_id", key)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text contains a test item."""
-    flagged = contained_items(docs, items, threshold, key, text).select(F.col(key).alias("_flagged")).distinct()
-    return docs.join(flagged, docs[key].cast("long").eqNullSafe(flagged["_flagged"]), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+    """``docs`` without the rows whose text contains a test item. Rows go by their own text, whatever other rows share their key."""
+
+    def clean(index_of: object):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, functions = index_of.value, ta.permutations(HASHES, SEED)
+            for batch in batches:
+                for part in ta.slices(batch, text):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[at for at, _, _ in _verified(part.column(text), index, functions, threshold)]] = False
+                    yield part.filter(pa.array(keep))
+
+        return run
+
+    for index in _indexes(docs, items, "item_id", "text", items_per_block):
+        docs = docs.mapInArrow(clean(index), docs.schema)
+    return docs

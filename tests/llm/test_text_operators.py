@@ -334,6 +334,17 @@ def test_contained_items(spark):
     assert decontamination.contained_items(docs.limit(0), bench).count() == 0 and decontamination.contained_items(docs, bench.limit(0)).count() == 0
 
 
+def test_clean_rows_that_share_an_id_with_a_hit_stay(spark):
+    items = [(i, prose(3000 + i, 30)) for i in range(9)]
+    rows = [(k, prose(4000 + n, 80) + (" " + items[n % 9][1] if n % 7 == 0 else ""), n) for n, k in enumerate([1, None, 2] * 20)] + [(None, None, 100), (1, "", 101)]
+    docs = spark.createDataFrame(rows, DOCS + ", n int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (50_000, 4):
+        kept = decontamination.decontaminate(docs, bench, items_per_block=block)
+        assert kept.columns == docs.columns and sorted(r.n for r in kept.collect()) == [n for _, _, n in rows if n % 7 or n >= 100]
+    assert decontamination.decontaminate(docs, bench.limit(0)).count() == len(rows)
+
+
 # --- 6: sharding --------------------------------------------------------------------------------------------------------------------------
 
 
