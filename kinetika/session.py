@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a single machine, as in tests) a temporary folder stands in for it.
+    Where the setting is absent a temporary folder stands in for it, on a ``local`` master only: the executors of a cluster don't see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     application = spark.sparkContext.applicationId
     if application not in _own_folders:
         _own_folders[application] = "file://" + tempfile.mkdtemp(prefix="kinetika-")
@@ -54,9 +57,38 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Shuffle files are removed when their query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table: it cuts the lineage, and later
-    reads survive a lost executor."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    reads survive a lost executor. The shuffle files of the write go with it."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for file in table.inputFiles()[:1]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}".lower() in taken:
+            name = f"_{name}"
+        taken.add(f"_{name}".lower())
+        out.append(f"_{name}")
+    return out
