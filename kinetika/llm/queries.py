@@ -55,7 +55,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return fingerprints.compare_edited(docs, classes=fingerprints.near_classes(docs))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

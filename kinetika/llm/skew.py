@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetika.session import unused
+
 #: A key is hot when it holds more than this part of all rows; so there are fewer hot keys than its inverse.
 HOT_PART = 1 / 1000
 
@@ -30,37 +32,70 @@ def hot_join(left: DataFrame, per_key: DataFrame, key: str, how: str = "inner",
     return hit.unionByName(rest.join(cold, key, how))
 
 
-def range_bounds(df: DataFrame, key: str, weight: Column, parts: int, sample: int = 20_000) -> np.ndarray:
-    """At most ``parts - 1`` long bounds that cut ``df`` into ranges of ``key`` of about equal ``weight``.
+#: ``split_by_bits`` has so many bits, in maps of ``_MAP_BITS`` each: 16 MB in all, whatever the number of keys.
+FILTER_BITS = 1 << 27
+_MAP_BITS = 32_768
+
+
+def split_by_bits(left: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``left`` in two: the rows whose ``columns`` may be among ``keys``, and those that certainly aren't.
+
+    Hashes of the keys set bits in a table of ``FILTER_BITS``, which is broadcast, so rows that match nothing needn't be shuffled to find
+    that out. With more keys more rows pass, and none that matches is ever in the second part.
+    """
+    (flag, number, bits) = unused(left, "flag", "number", "bits")
+    place = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    maps = keys.select(place.alias("p")).groupBy((F.floor(F.col("p") / _MAP_BITS)).cast("int").alias(number)).agg(F.bitmap_construct_agg((F.col("p") % _MAP_BITS).cast("long")).alias(bits))
+    joined = left.withColumn(flag, place.cast("int")).withColumn(number, F.floor(F.col(flag) / _MAP_BITS).cast("int")).join(F.broadcast(maps), number, "left")
+    at = F.col(flag) % _MAP_BITS
+    byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.col(bits).isNotNull() & (F.call_function("getbit", byte, at % 8) == 1)
+    return tuple(joined.filter(side).select(*left.columns) for side in (F.coalesce(hit, F.lit(False)), ~F.coalesce(hit, F.lit(False))))
+
+
+#: At most so many ranges, so what the driver samples for their bounds has a limit too.
+MOST_RANGES = 50_000
+
+
+def range_bounds(df: DataFrame, order: str, salt: str, weight: Column, parts: int, sample: int = 20_000) -> np.ndarray:
+    """At most ``parts - 1`` bounds, pairs of longs, that cut ``df`` into ranges of (``order``, ``salt``) of about equal ``weight``.
 
-    The bounds depend on the rows alone, not on how they lie in partitions: they come from the keys whose hash falls under a
-    limit, about ``sample`` of them. Other than such a sample nothing goes to the driver.
+    The bounds depend on the rows alone, not on how they lie in partitions: they come from the pairs whose hash falls under a
+    limit, about ``sample`` of them or 32 for each range. Other than such a sample nothing goes to the driver. A value of ``order`` that
+    holds many rows is cut by ``salt``.
     """
     count = df.count()
     if parts < 2 or not count:
-        return np.zeros(0, np.int64)
-    step = max(1, count // sample)
+        return np.zeros((0, 2), np.int64)
+    parts = min(parts, MOST_RANGES)
+    step = max(1, count // max(sample, 32 * parts))
     picked = (
-        df.filter(F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(step)) == 0))
-        .groupBy(F.col(key).cast("long").alias("k"))
+        df.filter(F.col(order).isNotNull() & (F.pmod(F.xxhash64(order, salt), F.lit(step)) == 0))
+        .groupBy(F.col(order).alias("o"), F.col(salt).alias("s"))
         .agg(F.sum(weight.cast("double")).alias("w"))
-        .orderBy("k")
+        .orderBy("o", "s")
         .collect()
     )
     if not picked:
-        return np.zeros(0, np.int64)
-    keys = np.array([r.k for r in picked], np.int64)
+        return np.zeros((0, 2), np.int64)
+    keys = np.array([(r.o, r.s) for r in picked], np.int64)
     sums = np.cumsum([max(r.w or 0.0, 1.0) for r in picked])
     at = np.searchsorted(sums, sums[-1] * np.arange(1, parts) / parts)
-    return np.unique(keys[np.minimum(at + 1, len(keys) - 1)])
+    return np.unique(keys[np.minimum(at + 1, len(keys) - 1)], axis=0)
 
 
-def range_of(key: Column, bounds: np.ndarray) -> Column:
-    """The number of the range that ``key`` falls in; null falls in the first."""
-    cuts = np.asarray(bounds, np.int64)
+def range_of(order: Column, salt: Column, bounds: np.ndarray) -> Column:
+    """The number of the range that (``order``, ``salt``) falls in."""
+    first, second = np.ascontiguousarray(bounds[:, 0]), np.ascontiguousarray(bounds[:, 1])
 
     @F.pandas_udf("int")
-    def find(keys):
-        return __import__("pandas").Series(np.searchsorted(cuts, keys.fillna(-(2**63)).astype("int64").to_numpy(), side="right").astype("int32"))
+    def find(orders, salts):
+        orders, salts = orders.to_numpy(), salts.to_numpy()
+        low, high = np.searchsorted(first, orders, "left"), np.searchsorted(first, orders, "right")
+        out = low.copy()
+        for a, b in {*zip(low[high > low].tolist(), high[high > low].tolist(), strict=True)}:
+            at = (low == a) & (high == b)
+            out[at] = a + np.searchsorted(second[a:b], salts[at], "right")
+        return __import__("pandas").Series(out.astype("int32"))
 
-    return find(key.cast("long"))
+    return find(order, salt)

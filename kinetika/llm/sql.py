@@ -33,4 +33,17 @@ SELECT doc_id,
 FROM lines LEFT JOIN covered USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5, "op8_line_dedup": OP8}
+OP2 = r"""
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages
+), parts AS (
+    SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER)) AS fives FROM payloads
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+    CASE WHEN page_id = max(page_id) OVER (PARTITION BY x) THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = max(page_id) OVER (PARTITION BY x) THEN NULL ELSE max(page_id) OVER (PARTITION BY x) END AS refers_to
+FROM parts
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2, "op5_decontamination": OP5, "op8_line_dedup": OP8}

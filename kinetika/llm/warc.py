@@ -7,10 +7,11 @@ replaces a file by itself. The manifest, a Parquet table of files, records and c
 it lists, so leftovers of lost tasks are never read.
 
 Of pages with equal payloads of ``revisit_from`` bytes or more, the one with the largest id is a response record; the others are
-revisit records that name it and carry no payload.
+revisit records that name it (``WARC-Refers-To`` and its target URI and date) and carry no payload.
 
 Defined results: null html is an empty payload; null urls are empty; rows that repeat an id with the same payload are records of the
-same kind; a null id is kept and sorts first; an empty table gives an empty manifest; other input columns are ignored.
+same kind, each with a record id of its own; a null id is kept and sorts first; an id or null that many rows share is cut into several
+shards by payload; a payload of any length is one record; an empty table gives an empty manifest; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +46,13 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(page: int | None, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page} {url}')}>"
+def record_id(page: int | None, url: str, digest: str, occurrence: int = 0) -> str:
+    """The id of the record of a page; rows equal in all three are told apart by their ``occurrence``."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page} {occurrence} {digest} {url}')}>"
+
+
+def _uri(url: str) -> str:
+    return "".join(c for c in url if c >= " ")
 
 
 def _member(headers: list[tuple[str, str]], block: bytes, level: int) -> bytes:
@@ -59,17 +65,17 @@ def _http(payload_length: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_length}\r\n\r\n".encode()
 
 
-def page_record(page: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool, level: int = 6) -> bytes:
-    """The gzip member of one page."""
-    digest, http = payload_digest(payload), _http(len(payload))
-    block = http if revisit else http + payload
+def page_record(page: int | None, url: str, payload: bytes, digest: str, response: tuple[int, str] | None = None, occurrence: int = 0, level: int = 6) -> bytes:
+    """The gzip member of one page; ``response``: the page and url of the record that a revisit refers to."""
+    http = _http(len(payload))
+    block = http + payload if response is None else http
     headers = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page, url)), ("WARC-Date", WARC_DATE),
-        ("WARC-Target-URI", "".join(c for c in url if c >= " ")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{payload_digest(block)}"),
+        ("WARC-Type", "response" if response is None else "revisit"), ("WARC-Record-ID", record_id(page, url, digest, occurrence)), ("WARC-Date", WARC_DATE),
+        ("WARC-Target-URI", _uri(url)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{payload_digest(block)}"),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))), ("X-Page-Id", "" if page is None else str(page)), ("X-Payload-Length", str(len(payload))),
     ]
-    if revisit:
-        headers += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-Id", str(refers_to))]
+    if response is not None:
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(*response, digest)), ("WARC-Refers-To-Target-URI", _uri(response[1])), ("WARC-Refers-To-Date", WARC_DATE), ("X-Refers-To-Page-Id", str(response[0]))]
     return _member(headers, block, level)
 
 
@@ -113,40 +119,41 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write one record for each row of ``pages`` to ``folder``; returns the committed manifest."""
-    rows = pages.select(F.col(key).cast("long").alias("page"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("_order", F.coalesce("page", F.lit(-(2**63))))
-    marked = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("size", F.octet_length("html").cast("long"))
-    narrow = materialize(marked.select("page", "sha", "size", "_order"), "warc-digests")
-    large = narrow.filter(F.col("size") >= revisit_from).select("page", "sha", "_order")
-    shared = materialize(large.groupBy("sha").agg(F.max("page").alias("response"), F.count("*").alias("key_rows")).filter("key_rows > 1"), "warc-payloads")
-    revisits = hot_join(large, shared, "sha").filter(~F.col("page").eqNullSafe(F.col("response"))).select("_order", "sha", "response").distinct()
+    rows = pages.select(F.col(key).cast("long").alias("page"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    rows = rows.withColumn("_order", F.coalesce("page", F.lit(-(2**63)))).withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("_salt", F.xxhash64("sha"))
+    narrow = materialize(rows.select("page", "url", "sha", F.octet_length("html").cast("long").alias("size"), "_order", "_salt"), "warc-digests")
+    large = narrow.filter(F.col("size") >= revisit_from).select("page", "sha", "_order", "_salt")
+    shared = narrow.filter(F.col("size") >= revisit_from).groupBy("sha").agg(F.max(F.struct("page", "url")).alias("response"), F.count("*").alias("key_rows"))
+    shared = materialize(shared.filter("key_rows > 1").select("sha", F.col("response.page").alias("response"), F.col("response.url").alias("response_url"), "key_rows"), "warc-payloads")
+    revisits = hot_join(large, shared, "sha").filter(~F.col("page").eqNullSafe(F.col("response"))).select("_order", "_salt", "sha", "response", "response_url").distinct()
     total = narrow.agg(F.coalesce(F.sum(F.col("size") + 512), F.lit(0))).first()[0]
-    bounds = range_bounds(narrow, "_order", F.col("size") + 512, max(1, -(-int(total) // shard_bytes)))
+    bounds = range_bounds(narrow, "_order", "_salt", F.col("size") + 512, max(1, -(-int(total) // shard_bytes)))
     # Marks of revisits travel with the pages, so the payloads are shuffled once.
-    shard = range_of(F.col("_order"), bounds)
-    dealt = rows.select(shard.alias("shard"), "_order", F.lit(True).alias("is_page"), "page", "url", "html", F.lit(None).cast("binary").alias("sha"), F.lit(None).cast("long").alias("response"))
-    marks = revisits.select(shard.alias("shard"), "_order", F.lit(False).alias("is_page"), F.lit(None).cast("long").alias("page"), F.lit("").alias("url"), F.lit("").alias("html"), "sha", "response")
-    dealt = dealt.unionByName(marks).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "_order", "is_page", "url", "html")
+    shard = range_of(F.col("_order"), F.col("_salt"), bounds)
+    dealt = rows.select(shard.alias("shard"), "_order", "_salt", F.lit(True).alias("is_page"), "page", "url", "html", "sha", F.lit(None).cast("long").alias("response"))
+    marks = revisits.select(shard.alias("shard"), "_order", "_salt", F.lit(False).alias("is_page"), F.lit(None).cast("long").alias("page"), F.col("response_url").alias("url"), F.lit("").alias("html"), "sha", "response")
+    dealt = dealt.unionByName(marks).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "_order", "_salt", "is_page", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         current: _File | None = None
-        marked_at, responses = None, {}
+        marked_at, responses, last, occurrence = None, {}, None, 0
         for batch in batches:
             done = []
             for shard, order, is_page, page, u, h, sha, response in zip(*(batch.column(c).to_pylist() for c in ("shard", "_order", "is_page", "page", "url", "html", "sha", "response")), strict=True):
                 if order != marked_at:
                     marked_at, responses = order, {}
                 if not is_page:
-                    responses[sha] = response
+                    responses[sha] = (response, u)
                     continue
-                payload = h.encode()
-                refers_to = responses.get(hashlib.sha1(payload).digest()) if responses else None
+                occurrence = occurrence + 1 if last == (order, sha, u) else 0
+                last = (order, sha, u)
                 if current and (current.shard != shard or current.size >= roll_bytes):
                     done.append(current.commit())
                     current = _File(store, path, shard, current.number + 1 if current.shard == shard else 0)
                 current = current or _File(store, path, shard, 0)
-                current.add(page_record(page, u, payload, refers_to, refers_to is not None))
+                current.add(page_record(page, u, h.encode(), base64.b32encode(sha).decode(), responses.get(sha), occurrence))
             if done:
                 yield _rows(done, MANIFEST)
         if current:

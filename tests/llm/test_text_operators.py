@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetika.llm import components, decontamination, fingerprints, language, line_dedup, ngram_join, packing, quality, secret_scan, sharding, textarrays, warc
-from kinetika.llm.skew import hot_join, range_bounds
+from kinetika.llm import skew
+from kinetika.llm.skew import hot_join, range_bounds, range_of
 from kinetika.session import new_folder
 
 SF = "/root/testdata/sf0.001"
@@ -85,9 +86,24 @@ def test_hot_join_loses_nothing(spark):
 
 
 def test_range_bounds_depend_on_rows_alone(spark):
-    df = spark.range(5000).select(F.col("id").alias("k"))
-    a, b = (range_bounds(d, "k", F.lit(1), 7, 400).tolist() for d in (df, df.repartition(5)))
-    assert a == b and len(a) == 6 and range_bounds(df.limit(0), "k", F.lit(1), 7).tolist() == []
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, -5).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("s"))
+    a, b = (range_bounds(d, "k", "s", F.lit(1), 7, 400).tolist() for d in (df, df.repartition(5)))
+    assert a == b and len(a) == 6 and range_bounds(df.limit(0), "k", "s", F.lit(1), 7).tolist() == []
+    found = df.withColumn("r", range_of(F.col("k"), F.col("s"), np.array(a, np.int64))).collect()
+    assert all(r.r == sum((x, y) <= (r.k, r.s) for x, y in a) for r in found)
+    assert len({r.r for r in found if r.k == -5}) > 1 and max(Counter(r.r for r in found).values()) < 1500  # the hot key is cut
+
+
+def test_split_by_bits_keeps_all_that_match(spark, monkeypatch):
+    left = spark.createDataFrame([(i, None if i % 7 == 0 else f"t{i}", 1) for i in range(500)], "a long, b string, flag int").withColumn("_flag", F.lit("x"))
+    keys = left.filter("a % 5 = 0").select("a", "b")
+    for bits in (1 << 27, 32_768):
+        monkeypatch.setattr(skew, "FILTER_BITS", bits)
+        hit, rest = skew.split_by_bits(left, keys, ["a", "b"])
+        assert hit.columns == rest.columns == left.columns
+        found, others = {r.a for r in hit.collect()}, {r.a for r in rest.collect()}
+        assert found >= set(range(0, 500, 5)) and found | others == set(range(500)) and not found & others and len(others) > 380
+    assert skew.split_by_bits(left, keys.limit(0), ["a", "b"])[1].count() == 500
 
 
 def test_components(spark):
@@ -113,11 +129,11 @@ def test_components(spark):
 
 
 def brute_classes(rows, threshold=0.8):
-    ids = [k for k, t in rows if t is not None and k is not None]
-    text = dict(rows)
-    links = {a: [b for b in ids if b != a and jaccard(text[a], text[b]) >= threshold] for a in ids}
-    out, seen = {}, set()
-    for a in sorted(ids):
+    """By row number: the least id of its class, and its links."""
+    own = [i for i, (k, t) in enumerate(rows) if t is not None and k is not None]
+    links = {a: [b for b in own if b != a and jaccard(rows[a][1], rows[b][1]) >= threshold] for a in own}
+    out, seen = {i: k for i, (k, _) in enumerate(rows)}, set()
+    for a in own:
         if a in seen:
             continue
         group, stack = set(), [a]
@@ -127,28 +143,133 @@ def brute_classes(rows, threshold=0.8):
                 group.add(x)
                 stack += links[x]
         seen |= group
-        out |= dict.fromkeys(group, min(group))
-    return out, {a: len(b) for a, b in links.items()}
+        out |= dict.fromkeys(group, min(rows[x][0] for x in group))
+    return out, {i: len(links.get(i, [])) for i in range(len(rows))}
+
+
+def by_id(rows, found):
+    return {k: found[i] for i, (k, _) in enumerate(rows)}
+
+
+def graded(seed, sizes, words=150):
+    """Groups of texts at many similarities: each has some of its group's words replaced."""
+    rng, out = random.Random(seed), []
+    for g, size in enumerate(sizes):
+        base = prose(seed * 1000 + g, words).split()
+        for i in range(size):
+            text = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                text[rng.randrange(len(text))] = f"w{rng.randrange(10**6)}"
+            out.append(" ".join(text))
+    return list(enumerate(out))
 
 
 def test_join_finds_every_link(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEAST_BLOCK", 16)  # the group of near copies takes several blocks
     rows = corpus()
-    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows] + [(None, "two words", "x", 1)], "doc_id long, text string, digest string, rep int")
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows] + [(None, "two words", "x", 1)], "doc_id long, text string, digest string, node int")
     out = ngram_join.join_ngrams(df).collect()
     classes, links = brute_classes(rows)
     got = {r.doc_id: (r.class_id, r.n_links) for r in out}
     assert len(out) == len(rows) + 1 and got[None] == (None, 0)
-    for k, t in rows:
-        assert got[k] == ((classes[k], links[k]) if t is not None else (k, 0)), (k, t)
+    for i, (k, t) in enumerate(rows):
+        assert got[k] == ((classes[i], links[i]) if t is not None else (k, 0)), (k, t)
+
+
+def test_recall_of_the_forest(spark):
+    rows = graded(3, [2] * 150 + [7] * 20 + [60])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join_ngrams(spark.createDataFrame(rows, DOCS)).collect()}
+    classes, links = brute_classes(rows)
+    assert sum(got[k][1] for k, _ in rows) >= 0.995 * sum(links.values()) and all(got[k][1] <= links[k] for k, _ in rows)
+    assert sum(got[k][0] == classes[k] for k, _ in rows) >= 0.99 * len(rows)
+
+
+def test_prefixes_shorten_until_the_recall(spark, monkeypatch):
+    d = ngram_join.shortest_prefix(0.8, 24, 10, 0.999)
+    assert ngram_join.found_share(0.8, d) >= 0.999 > ngram_join.found_share(0.8, d + 1) and ngram_join.shortest_prefix(0.8, 1, 16, 0.999) == 1
+    assert ngram_join.prefix_lengths(6, 10) == [10, 8, 6]
+    seen, estimate = [], ngram_join.recall_estimate
+    monkeypatch.setattr(ngram_join, "recall_estimate", lambda totals, depth, trees, threshold: seen.append((depth, *estimate(totals, depth, trees, threshold))) or seen[-1][1:])
+    close = [(i, prose(i // 2, 200).replace("a", "b", i % 2)) for i in range(2400)]  # pairs that differ in one word
+    ngram_join.join_ngrams(spark.createDataFrame(close, DOCS)).count()
+    assert [d for d, _, _ in seen] == [10] and seen[0][1] >= 0.999 and seen[0][2] > 2300
+    seen.clear()
+    ngram_join.join_ngrams(spark.createDataFrame(graded(5, [2] * 30), DOCS)).count()
+    assert [d for d, _, _ in seen] == [10, 8, 6]  # too few nodes to tell
+
+
+def test_recall_estimate_against_sums(spark):
+    rng = random.Random(4)
+    counts = [[rng.choice([0, 0, 1, 5]) for _ in range(ngram_join.STEPS)] for _ in range(50)] + [[0] * ngram_join.STEPS]
+    found, nodes = ngram_join.recall_estimate(spark.createDataFrame([(c,) for c in counts], "counts array<long>"), 8, 24, 0.8)
+    linked = [c for c in counts if sum(c)]
+    missed = sum(sum(n * (1 / (1 - (1 - (0.8 + 0.02 * i) ** 8) ** 24) - 1) for i, n in enumerate(c)) / sum(c) for c in linked)
+    assert nodes == len(linked) and found == pytest.approx(len(linked) / (len(linked) + missed))
+
+
+def test_trie_edges_tie_what_shares_a_prefix():
+    rng = np.random.default_rng(3)
+    depth, shortest, window = 4, 2, 3
+    paths = np.unique(rng.integers(0, 3, (300, 1 + depth)).astype(np.uint8), axis=0)
+    paths = np.repeat(paths, rng.integers(1, 4, len(paths)), axis=0)
+    n = len(paths)
+    nodes = np.arange(n, dtype=">i8").view(np.uint8).reshape(n, 8)
+    alike = np.concatenate([paths, nodes, np.zeros((n, 8), np.uint8)], axis=1)
+    u, v, common = ngram_join.trie_edges(alike, depth, shortest, 0.6, window, 0, n)
+    for length in (4, 3, 2):  # prefixes of each length make the same groups as edges that have as much in common
+        root = ngram_join._roots(n, u[common >= length], v[common >= length])
+        groups = defaultdict(set)
+        for i in range(n):
+            groups[paths[i, : 1 + length].tobytes()].add(int(root[i]))
+        assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+    sketches = rng.integers(0, 256, (n, 8)).astype(np.uint8)  # no two alike: only members of long runs are tied
+    u, v, _ = ngram_join.trie_edges(np.concatenate([paths, nodes, sketches], axis=1), depth, shortest, 0.99, window, 0, n)
+    size = Counter(paths[i, : 1 + shortest].tobytes() for i in range(n))
+    tied = defaultdict(set)
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        tied[paths[a, : 1 + shortest].tobytes()] |= {a, b}
+    assert all(len(tied[p]) == (c if c > window + 1 else 0) for p, c in size.items())
+
+
+def test_edges_across_ranges(spark):
+    from kinetika.session import materialize
+
+    rng = np.random.default_rng(5)
+    trees, depth = 2, 4
+    forest = rng.integers(0, 2, (400, trees * depth)).astype(np.uint8)
+    rows = [(i, bytearray(f.tobytes() + bytes([int(rng.integers(256))]))) for i, f in enumerate(forest)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        edges = ngram_join.forest_edges(materialize(spark.createDataFrame(rows, "node long, forest binary"), "n"), trees, depth, 2, 0.9, 3).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for length in (4, 3, 2):
+        kept = [e for e in edges if e.common >= length]
+        root = ngram_join._roots(400, np.array([e.u for e in kept]), np.array([e.v for e in kept]))
+        expected = ngram_join._roots(400, *np.array([(a, b) for t in range(trees) for p in {f[t * depth : t * depth + length].tobytes() for f in forest} for m in [[i for i in range(400) if forest[i, t * depth : t * depth + length].tobytes() == p]] for a, b in zip(m, m[1:], strict=False)]).T)
+        assert (root == expected).all(), length
 
 
 def test_join_of_repeated_rows_and_empty_tables(spark):
-    df = spark.createDataFrame([(1, prose(1)), (1, prose(1)), (2, prose(1)), (3, prose(2))], DOCS)
-    assert sorted((r.doc_id, r.class_id) for r in ngram_join.join_ngrams(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 3)]
-    assert ngram_join.join_ngrams(df.limit(0)).count() == 0
-    kept = ngram_join.drop_near_copies(df.withColumn("rep", F.lit(1)))
-    assert sorted({r.doc_id for r in kept.collect()}) == [1, 3] and kept.columns == ["doc_id", "text", "rep"]
+    a, b, c = prose(1), prose(2), prose(3)
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (8, c + " more"), (9, None), (9, None), (None, a), (None, a), (10, ""), (11, "")]
+    df = spark.createDataFrame(rows, DOCS)
+    classes, links = brute_classes(rows)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join_ngrams(df).collect()), key=str)
+    assert got == sorted(((k, classes[i], links[i]) for i, (k, t) in enumerate(rows)), key=str)
+    assert ngram_join.join_ngrams(df.limit(0)).count() == 0 and ngram_join.drop_near_copies(df.limit(0)).count() == 0
+    kept = ngram_join.drop_near_copies(df.select("doc_id", "text", F.lit(1).alias("_id"), F.lit("x").alias("_hash"), F.lit(2).alias("stays")))
+    assert kept.columns == ["doc_id", "text", "_id", "_hash", "stays"]
+    expected = [(1, a), (5, b), (7, c), (9, None), (9, None), (None, a), (None, a), (10, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_join_of_very_long_texts(spark):
+    long = " ".join(f"w{i % 9000}x{i // 9000}" for i in range(120_000))
+    rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2]), (4, "x" * 400_000), (5, "x" * 400_000)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join_ngrams(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 1), 5: (4, 1)}
 
 
 def test_shared_counts():
@@ -159,11 +280,6 @@ def test_shared_counts():
         assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(count) for j in range(count) if i != j)
 
 
-def test_prefixes_shorten_until_the_recall():
-    d = ngram_join.prefix_length(0.8, 40, 16, 0.999)
-    assert 1 - (1 - 0.8**d) ** 40 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 40 and ngram_join.prefix_length(0.8, 1, 16, 0.999) == 1
-
-
 # --- 2: WARC -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -210,6 +326,20 @@ def test_warc_is_deterministic_and_checked(spark, tmp_path):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_warc_record_ids(spark, tmp_path):
+    rows = [(None, "u", "same")] * 3 + [(None, "u", f"other {i}") for i in range(200)] + [(4, "a", "same"), (4, "b", "same"), (4, "b", "same"), (6, "z", "x" * 3_000_000), (7, "z", "x" * 3_000_000)]
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w", shard_bytes=9_000).collect()
+    found = [h for m in manifest for h, _ in warc.records(open(tmp_path / "w" / m.file, "rb")) if h["warc-type"] != "warcinfo"]
+    by_id = {h["warc-record-id"]: h for h in found}
+    assert len(by_id) == len(found) == len(rows) and len({m.shard for m in manifest}) > 3  # many rows without an id make several shards
+    for h in found:
+        if h["warc-type"] == "revisit":
+            first = by_id[h["warc-refers-to"]]
+            assert first["warc-type"] == "response" and first["warc-payload-digest"] == h["warc-payload-digest"] and first["warc-date"] == h["warc-refers-to-date"]
+            assert first["x-page-id"] == h["x-refers-to-page-id"] and first["warc-target-uri"] == h["warc-refers-to-target-uri"]
+    assert Counter(h["warc-type"] for h in found) == {"revisit": 4, "response": 204}
+
+
 # --- 3: packing --------------------------------------------------------------------------------------------------------------------
 
 
@@ -581,9 +711,26 @@ def test_fingerprints(spark):
 
 def test_bands_find_near_classes(spark):
     rows = corpus()
-    got = {r.doc_id: r.class_id for r in fingerprints.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
-    classes, _ = brute_classes(rows)
-    assert all(got[k] == v for k, v in classes.items())
+    got = {r.doc_id: (r.class_id, r.n_links) for r in fingerprints.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    classes, links = brute_classes(rows)
+    assert got == {k: (classes[i], links[i]) for i, (k, _) in enumerate(rows)}
+
+
+def test_classes_come_with_the_fingerprints(spark):
+    rows = [*corpus(), (None, prose(3)), (None, None), (9, prose(77)), (9, prose(78))]
+    df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, class_id int")
+    out = fingerprints.compare_edited(df, parts=5, classes=fingerprints.near_classes(df)).collect()
+    classes, links = brute_classes(rows)
+    expected = sorted(((k, len(t or ""), classes[i], links[i]) for i, (k, t) in enumerate(rows)), key=str)
+    assert sorted(((r.doc_id, r.n_chars, r.near_class, r.near_links) for r in out), key=str) == expected
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(100_000))
+    out = {r.doc_id: r for r in fingerprints.compare_edited(spark.createDataFrame([(1, long), (2, long), (3, "short one")], DOCS)).collect()}
+    assert out[1].fingerprint == out[2].fingerprint and out[1].near_next == 1 and out[2].n_chars == len(long)
+    half = len(long) // 2
+    assert out[2].edited_sha256 == hashlib.sha256((long[: len(long) - half] + "short one").encode()).hexdigest()
 
 
 # --- pipeline --------------------------------------------------------------------------------------------------------------------------------
@@ -628,10 +775,10 @@ def test_queries_match_sql(spark):
 
     assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in range(1, 11))
     con = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "pages"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in ORACLE_SQL.items():
         made, expected = QUERIES[name](spark, SF), con.sql(sql)
         columns = sorted(made.columns)
         assert columns == sorted(expected.columns)
-        assert sorted(map(str, map(tuple, made.select(columns).collect()))) == sorted(map(str, expected.df()[columns].astype(object).itertuples(index=False, name=None)))
+        assert sorted(map(str, map(tuple, made.select(columns).collect()))) == sorted(map(str, con.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()))

@@ -56,8 +56,11 @@ def test_a_grown_map_moves_slots_to_the_new_shard_alone(sizes, shards):
 @given(st.integers(0, 1 << 40), st.text(max_size=40), st.binary(max_size=200), st.booleans())
 def test_records_are_read_as_written(page, url, payload, revisit):
     url = url.encode("utf-8", "ignore").decode()
-    member = warc.page_record(page, url, payload, 7 if revisit else None, revisit)
+    digest = warc.payload_digest(payload)
+    member = warc.page_record(page, url, payload, digest, (7, "there") if revisit else None)
     (headers, block), = warc.records(io.BytesIO(member + gzip.compress(b"")))
+    first = next(warc.records(io.BytesIO(warc.page_record(7, "there", payload, digest))))[0]
+    assert headers.get("warc-refers-to") == (first["warc-record-id"] if revisit else None) and headers.get("warc-refers-to-target-uri") == ("there" if revisit else None)
     assert headers["x-page-id"] == str(page) and headers["warc-payload-digest"] == f"sha1:{warc.payload_digest(payload)}"
     assert block.partition(b"\r\n\r\n")[2] == (b"" if revisit else payload) and headers["warc-type"] == ("revisit" if revisit else "response")
 
