@@ -7,8 +7,9 @@ values, each a band of its own, miss less than one such item in 500,000. Each ca
 the item's shingles in the whole document.
 
 Defined results: an item or document of fewer than five words is one shingle of all its words; one without words, or null, has no
-shingles and matches nothing; repeated rows give repeated results; empty tables give none; other input columns are ignored. Test
-items are taken in blocks of a fixed number, each block against all documents, so what is broadcast has a bound.
+shingles and matches nothing; every row of both tables is matched by itself, so repeated rows give repeated results; a text of any
+length is searched whole; empty tables give none; other input columns are ignored (kept by ``decontaminate``), whatever their names. Test items
+are taken in blocks of a fixed number and a fixed number of bytes, each block against all documents, so what is broadcast has a bound.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from kinetika.llm import textarrays as ta
 HASHES = 64
 SEED = 5
 ITEMS_PER_BLOCK = 50_000
+BYTES_PER_BLOCK = 32 << 20
 _FILTER_BITS = 18
 
 
@@ -112,9 +114,10 @@ def _verified(texts: pa.Array, index: ItemIndex, functions: tuple[np.ndarray, np
 def _indexes(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, items_per_block: int) -> Iterator[object]:
     """Broadcast indexes of the test items, block by block; one at least."""
     wanted = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
-    blocks = max(1, -(-wanted.count() // items_per_block))
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size.n // items_per_block), -(-size.bytes // BYTES_PER_BLOCK))
     for i in range(blocks):
-        taken = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
+        taken = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()  # about BYTES_PER_BLOCK at most
         yield docs.sparkSession.sparkContext.broadcast(ItemIndex([r.item_id for r in taken], [r.text for r in taken]))
 
 

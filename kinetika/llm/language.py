@@ -5,14 +5,16 @@ from where the last ended; a language that needs few phrases resembles the text.
 the logarithm of the labelled text's length; the language of the fewest wins. All automata run in step over many blocks of
 text at once, in numpy, so no character is handled alone.
 
-Training takes a bounded sample: about ``TRAIN_DOCUMENTS`` labelled documents of each language, found by a hash of the id, and
+Training takes a bounded sample: about ``TRAIN_DOCUMENTS`` different labelled texts of each language, found by a hash of the text, and
 ``TRAIN_CHARACTERS`` of their letters at most. These are taken from ``PASSAGES`` parts of each document, at a place in each part that
 a hash gives, so ends count as much as openings; passages that mostly repeat others of the language are left out. Each text is parsed
 whole, in blocks of ``BLOCK`` characters.
 
 Defined results: a null text or one without letters is ``und`` with score 0; if no row is labelled, so is every text; ties go to the
-first language in order; every label is learned, in tables of ``MOST_LANGUAGES`` labels each, so memory grows with their number; other
-input columns are kept by ``keep_languages`` and ignored by ``identify``.
+first language in order; every label is learned, in tables of ``MOST_LANGUAGES`` labels each, and steps of large alphabets are kept sparse, so
+memory grows with the labels and the letters learned from; repeated rows are learned from once and predicted each; rows without an id are like
+any other, as the id only says which are held out; an empty table gives no rows and a model without languages; other input columns are kept by
+``keep_languages`` and ignored by ``identify``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ TRAIN_CHARACTERS = 16_000
 MOST_LANGUAGES = 64
 BLOCK = 1024
 PASSAGES = 4
+#: Up to so many keys (states x symbols) are kept as one table: 32 MB.
+DENSE_KEYS = 1 << 23
 #: A passage repeats others if more than half of its stretches of so many characters are known.
 REPEAT_CHARACTERS = 16
 _RARE = 1
@@ -68,10 +72,49 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = clone
             last = new
-        self.table = np.zeros((len(following), alphabet), np.int32)
-        for state, steps in enumerate(following):
-            for c, to in steps.items():
-                self.table[state, c] = to
+        self.states = len(following)
+        edges = [(state * alphabet + c, to) for state, steps in enumerate(following) for c, to in steps.items()]
+        self.keys, self.targets = np.array(edges, np.int64).reshape(-1, 2).T
+
+
+class Transitions:
+    """Steps of automata by key, ``state * alphabet + symbol``: a table of all keys where that is small, else a hash table of those there are."""
+
+    def __init__(self, keys: np.ndarray, targets: np.ndarray, most: int, dense: int = DENSE_KEYS) -> None:
+        self.dense = most <= dense
+        if self.dense:
+            self.to = np.zeros(most, np.int32)
+            self.to[keys] = targets
+            return
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        left, place = np.arange(len(keys)), self._home(keys)
+        while len(left):  # the first to come to a free place takes it, the others look at the next
+            free = left[self.keys[place[left]] == -1]
+            won = free[np.unique(place[free], return_index=True)[1]]
+            self.keys[place[won]], self.to[place[won]] = keys[won], targets[won]
+            left = np.setdiff1d(left, won)
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def follow(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key leads; 0 where there is no such step."""
+        if self.dense:
+            return self.to[keys]
+        flat = keys.ravel()
+        place = self._home(flat)
+        found = self.keys[place]
+        out = np.where(found == flat, self.to[place], 0)
+        left = np.flatnonzero((found != flat) & (found != -1))
+        while len(left):
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[place[left]]
+            hit = found == flat[left]
+            out[left[hit]] = self.to[place[left[hit]]]
+            left = left[~hit & (found != -1)]
+        return out.reshape(keys.shape)
 
 
 class LanguageModel:
@@ -87,19 +130,22 @@ class LanguageModel:
         letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
         self.alphabet = len(letters) + 2  # 0: a break between words, 1: a letter that was never seen
         self.letters = np.array([ord(c) for c in letters], np.int64)
-        tables, self.bits, self.root = [], [], []
+        keys, targets, self.bits, self.root = [], [], [], []
         base = 0
         for name in self.languages:
             share = max(1, characters // max(1, len(samples[name])))
             parts = [self.encode(pa.array([t]))[0][: 4 * share] for t in samples[name]]
             text = np.concatenate([p[:share] for p in parts] or [np.zeros(0, np.uint8)])[:characters]
-            table = SuffixAutomaton(text.tolist(), self.alphabet).table
-            table[:, _RARE] = 0
+            own = SuffixAutomaton(text.tolist(), self.alphabet)
+            known = own.keys % self.alphabet != _RARE
+            keys.append(own.keys[known] + base * self.alphabet)
+            targets.append(own.targets[known] + base)
             self.root.append(base + 1)
             self.bits.append(np.log2(len(text) + 2))
-            tables.append(np.where(table > 0, table + base, 0))
-            base += len(table)
-        self.flat = np.concatenate(tables).ravel().astype(np.int32) if tables else np.zeros(0, np.int32)
+            base += own.states
+        self.steps = Transitions(np.concatenate(keys or [np.zeros(0, np.int64)]), np.concatenate(targets or [np.zeros(0, np.int64)]), base * self.alphabet)
+        roots = np.array(self.root, np.int64)[:, None] * self.alphabet
+        self.first_steps = self.steps.follow(roots + np.arange(self.alphabet))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, one break for each run of other characters, and the bounds of each text."""
@@ -137,10 +183,10 @@ class LanguageModel:
         active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
         for step, live in enumerate(active.tolist()):
             c = symbols[start[:live] + step].astype(np.int64)
-            to = self.flat[state[:, :live] + c]
+            to = self.steps.follow(state[:, :live] + c)
             stuck = to == 0
             phrases[:, :live] += stuck
-            again = self.flat[roots + c]
+            again = self.first_steps[:, c]
             unknown = stuck & (again == 0)
             phrases[:, :live] += unknown
             to = np.where(stuck, np.where(unknown, roots // self.alphabet, again), to)
@@ -172,18 +218,19 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     known = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(lang).cast("string").alias("_l")).filter(F.col("_t").isNotNull() & F.col("_l").isNotNull())
     if holdout:
         known = known.filter(~F.coalesce(held_out(F.col("_k")), F.lit(False)))
-    counts = known.groupBy("_l").count().select("_l", (F.least(F.lit(1.0), documents / F.col("count")) * (1 << 30)).cast("long").alias("_below")).collect()
+    counts = known.groupBy("_l").agg(F.approx_count_distinct(F.xxhash64("_t")).alias("texts"))
+    counts = counts.select("_l", (F.least(F.lit(1.0), documents / F.greatest("texts", F.lit(1))) * (1 << 30)).cast("long").alias("_below")).collect()  # one row a label
     if not counts:
         return LanguageModel({})
     limits = F.broadcast(docs.sparkSession.createDataFrame(counts, "_l string, _below long"))
-    place = F.pmod(F.xxhash64("_k"), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("_t"), F.lit(1 << 30))
     share = max(1, characters // (documents * PASSAGES))
     size = F.length("_t")
     parts = F.greatest(F.lit(1), F.least(F.lit(PASSAGES), F.floor(size / share)))
     width = size / parts
 
     def passage(i: Column) -> Column:
-        start = i * width + F.pmod(F.xxhash64("_k", "_t", i), F.greatest(F.lit(1), F.floor(width) - share + 1))
+        start = i * width + F.pmod(F.xxhash64("_t", i), F.greatest(F.lit(1), F.floor(width) - share + 1))
         return F.substring("_t", F.floor(start).cast("int") + 1, F.lit(8 * share))
 
     chosen = F.transform(F.sequence(F.lit(0), parts.cast("int") - 1), passage)

@@ -4,8 +4,9 @@ Every three consecutive lines of a text make a window, known by the MD5 of its l
 the order of id, text hash and position, is a later occurrence; all lines that later occurrences cover are removed.
 
 Defined results: a text of fewer than three lines has no window and stays; null texts stay null; a text that loses all its lines
-becomes empty; rows equal in id and text count as one occurrence, so all stay alike; an empty table gives no rows. Input columns
-are kept under their names (``removed_lines`` is replaced).
+becomes empty; a null id comes first in the order; rows equal in id and text count as one occurrence, so all stay alike; a very long
+text is taken whole, in one row; an empty table gives no rows. Input columns are kept whatever their names, but for ``removed_lines``, which
+is replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetika.llm.skew import hot_join
-from kinetika.session import materialize
+from kinetika.session import materialize, unused
 
 WINDOW_LINES = 3
 
@@ -33,12 +34,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     place = F.struct(F.col("_id"), F.col("_hash"), F.col("_pos"))
     repeated = materialize(windows.groupBy("_window").agg(F.count("*").alias("key_rows"), F.min(place).alias("_first")).filter("key_rows > 1"), "line-repeats")
     later = hot_join(windows, repeated, "_window").filter(place > F.col("_first"))
-    covered = later.groupBy("_id", "_hash").agg(F.array_distinct(F.flatten(F.transform(F.collect_set("_pos"), lambda p: F.sequence(p, p + (window - 1))))).alias("_covered"))
-    hashed = docs.drop("removed_lines").withColumn("_hash_of_text", F.xxhash64(text))
-    joined = hashed.join(covered, (hashed["_hash_of_text"] == covered["_hash"]) & hashed[key].cast("long").eqNullSafe(covered["_id"]), "left")
+    positions = F.array_distinct(F.flatten(F.transform(F.collect_set("_pos"), lambda p: F.sequence(p, p + (window - 1)))))
+    covered = materialize(later.groupBy("_id", "_hash").agg(positions.alias("_covered")), "line-covered")
+
+    kept_columns = [c for c in docs.columns if c != "removed_lines"]
+    id_, hash_, with_id, with_hash, gone = unused(docs, "id", "hash", "with_id", "with_hash", "gone")
+    hashed = docs.drop("removed_lines").withColumn(id_, F.col(key).cast("long")).withColumn(hash_, F.xxhash64(text))
+    known = covered.select(F.col("_id").alias(with_id), F.col("_hash").alias(with_hash), F.col("_covered").alias(gone))
+    joined = hashed.filter(F.col(text).isNotNull()).join(known, (F.col(hash_) == F.col(with_hash)) & F.col(id_).eqNullSafe(F.col(with_id)), "left")
     own = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("_covered"))
-    return joined.select(
-        *[F.when(F.col("_covered").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(own, i)), "\n")).alias(text) if c == text else hashed[c] for c in docs.columns if c != "removed_lines"],
-        F.when(F.col("_covered").isNull(), F.lit(0)).otherwise(F.size("_covered")).cast("long").alias("removed_lines"),
-    )
+    kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(gone))
+    left_over = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.flatten(F.transform(F.array(own), lambda all_lines: F.transform(kept, lambda i: F.get(all_lines, i)))), "\n"))
+    touched = joined.select(*[left_over.alias(text) if c == text else F.col(c) for c in kept_columns], F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("removed_lines"))
+    none = F.lit(0).cast("long").alias("removed_lines")
+    return touched.unionByName(docs.filter(F.col(text).isNull()).select(*kept_columns, none))

@@ -2,11 +2,13 @@
 
 Only lengths matter for packing, and there are at most ``capacity`` of them, so the search works on counts by length. For each bin a
 bitset subset-sum over the available lengths finds the fullest feasible combination that holds the longest remaining length. The
-combination is removed as often as the counts allow, so the number of searches is bounded by the number of lengths, not of
-documents. Documents then take their places by rank within their length.
+combination is removed as often as the counts allow, which uses up one of its lengths or leaves fewer of it than the combination takes; so
+the number of searches grows with the number of lengths (some 1,050 for 1,024 lengths of random counts), not of documents. Documents
+then take their places by rank within their length.
 
 Defined results: a null text counts as empty, which packs as the end id alone; a document longer than the capacity is cut so that only
-its first piece may be shorter; rows that repeat an id are packed each; an empty table gives no rows; other input columns are ignored.
+its first piece may be shorter; rows that repeat an id are packed each; equal lengths are interchangeable and take places in a fixed
+order; a text of any length is tokenised whole; an empty table gives no rows; other input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from kinetika.session import materialize
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Ranks are counted in so many parts of each length, so no length is ranked in one task.
-RANK_PARTS = 256
+#: Pieces of one length that one task ranks: a length of more is ranked in parts.
+PART_ROWS = 32_768
 #: ``tiktoken`` gives up on white space of nearly a million characters in one run; texts with runs from this on go to ``tokenizers``.
 LONG_SPACE = 100_000
 _LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}")
@@ -143,21 +145,27 @@ def _segments(bins: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 def pack_pieces(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (a written table with ``length``) with ``sequence_id`` and ``offset``."""
-    part = F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int")
-    dealt = pieces.withColumn("_part", part)
-    found = dealt.groupBy("length", "_part").count().collect()  # at most capacity x RANK_PARTS rows
-    table = np.zeros((capacity + 1, RANK_PARTS), np.int64)
-    for r in found:
-        table[r.length, r._part] = r["count"]
-    first = np.cumsum(table, axis=1) - table
-    segments = _segments(patterns(table.sum(axis=1), capacity))
-    columns = [f for f in dealt.columns if f != "_part"]
+    spark = pieces.sparkSession
+    by_length = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
+    parts = np.array([-(-by_length.get(n, 0) // PART_ROWS) for n in range(capacity + 1)], np.int64)
+    starts = np.cumsum(parts) - parts
+    shared = F.broadcast(spark.createDataFrame([(n, int(starts[n]), int(parts[n])) for n in by_length], "length long, _start long, _parts long"))
+    part = F.col("_start") + F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.col("_parts"))
+    dealt = pieces.join(shared, "length").withColumn("_part", part).select(*pieces.columns, "_part")
+    count = np.zeros(int(parts.sum()), np.int64)
+    for r in dealt.groupBy("_part").count().collect():  # one row per length, and per PART_ROWS pieces
+        count[r._part] = r["count"]
+    before = np.cumsum(count) - count
+    total = np.array([by_length.get(n, 0) for n in range(capacity + 1)], np.int64)
+    first = before - np.repeat(np.cumsum(total) - total, parts)  # the rank within its length of the first piece of each part
+    segments = _segments(patterns(total, capacity))
+    columns = pieces.columns
     schema = pieces.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").to_numpy()
-            rank = first[length, batch.column("_part").to_numpy()] + batch.column("_rank").to_numpy() - 1
+            rank = first[batch.column("_part").to_numpy()] + batch.column("_rank").to_numpy() - 1
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for size in np.unique(length):
                 at, rows = np.flatnonzero(length == size), segments[int(size)]
@@ -167,7 +175,7 @@ def pack_pieces(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY
                 offset[at] = row[:, 3] + inner % row[:, 2] * size
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
-    within = Window.partitionBy("length", "_part").orderBy(F.col(key).asc_nulls_first(), "piece", "ids_crc32")
+    within = Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_first(), "piece", "ids_crc32")
     return dealt.withColumn("_rank", F.row_number().over(within)).mapInArrow(place, schema)
 
 

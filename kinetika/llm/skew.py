@@ -32,8 +32,8 @@ def hot_join(left: DataFrame, per_key: DataFrame, key: str, how: str = "inner",
     return hit.unionByName(rest.join(cold, key, how))
 
 
-#: ``split_by_bits`` has so many bits, in maps of ``_MAP_BITS`` each: 16 MB in all, whatever the number of keys.
-FILTER_BITS = 1 << 27
+#: ``split_by_bits`` has so many bits, in maps of ``_MAP_BITS`` each: 4 MB in all, whatever the number of keys.
+FILTER_BITS = 1 << 25
 _MAP_BITS = 32_768
 
 

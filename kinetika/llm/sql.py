@@ -2,19 +2,19 @@
 
 OP5 = r"""
 WITH words AS (
-    SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+    SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
 ), item_words AS (
-    SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL
+    SELECT row_number() OVER () AS i, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL
 ), shingles AS (
-    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM words, range(1, greatest(len(w) - 3, 2)) t(i) WHERE len(w) > 0
+    SELECT DISTINCT d, doc_id, array_to_string(w[p : p + 4], ' ') AS s FROM words, range(1, greatest(len(w) - 3, 2)) t(p) WHERE len(w) > 0
 ), item_shingles AS (
-    SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s FROM item_words, range(1, greatest(len(w) - 3, 2)) t(i) WHERE len(w) > 0
+    SELECT DISTINCT i, item_id, array_to_string(w[p : p + 4], ' ') AS s FROM item_words, range(1, greatest(len(w) - 3, 2)) t(p) WHERE len(w) > 0
 ), sizes AS (
-    SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id
+    SELECT i, count(*) AS n FROM item_shingles GROUP BY i
 )
 SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS shared, CAST(n AS INTEGER) AS item_shingles, count(*) / CAST(n AS DOUBLE) AS containment
-FROM shingles JOIN item_shingles USING (s) JOIN sizes USING (item_id)
-GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
+FROM shingles JOIN item_shingles USING (s) JOIN sizes USING (i)
+GROUP BY d, doc_id, i, item_id, n HAVING count(*) >= 0.8 * n
 """
 
 OP8 = r"""
