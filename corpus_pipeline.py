@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over ``documents``, each on all that its predecessor kept."""
+"""The corpus pipeline: five stages over ``documents``, each on all that its predecessor kept.
+
+Defined results: every row is judged by its own text, whatever other rows share its id. Null and empty texts, and texts without a letter, have
+no language and go in the first stage; a null id is an id like any other, but such a row is nobody's near copy; of rows that repeat a text,
+or come near to it, the one with the least id stays, and of rows equal in id and text one; ties are broken by hashes of the text; very long
+texts are taken whole in every stage; an empty table gives no rows. The stages return the columns of ``documents``; others are left out,
+whatever their names.
+"""
 
 from __future__ import annotations
 
