@@ -57,15 +57,6 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def gaussian_kde(values: np.ndarray, points: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """A kernel density estimate with Scott's bandwidth on an even grid over the values."""
-    values = np.asarray(values, float)
-    width = max(values.std(ddof=1) if len(values) > 1 else 0.0, 1e-12) * len(values) ** -0.2
-    grid = np.linspace(values.min() - 3 * width, values.max() + 3 * width, points)
-    z = (grid[:, None] - values[None, :]) / width
-    return grid, np.exp(-z * z / 2).sum(axis=1) / (len(values) * width * math.sqrt(2 * math.pi))
-
-
 def average_linkage(distance: np.ndarray) -> np.ndarray:
     """Average-linkage merges of a distance matrix: rows of two cluster numbers, height and size."""
     n = len(distance)

@@ -138,32 +138,44 @@ def classification_metrics(df: DataFrame, truth: str, prediction: str, score: st
     return df.sparkSession.createDataFrame([tuple(values)], "n long, " + ", ".join(f"{m} double" for m in METRICS[1:]))
 
 
+def with_probability(model, df: DataFrame) -> DataFrame:
+    """``model.transform(df)``; a model that gives no probability can't be held against a ROC curve."""
+    if not hasattr(model, "transform"):
+        raise TypeError(f"{type(model).__name__} has no transform")
+    made = model.transform(df)
+    if "positive_probability" not in made.columns:
+        raise TypeError(f"{type(model).__name__} gives no positive_probability, which ROC statistics need")
+    return made
+
+
 def evaluate_models(models: dict, df: DataFrame, label_col: str, positive_label=None, alpha: float = 0.05) -> DataFrame:
     """A row of metrics per fitted model, with its name in ``model``."""
     out = None
     for name, model in models.items():
-        row = classification_metrics(model.transform(df), label_col, "prediction", "positive_probability", positive_label, alpha).select(F.lit(name).alias("model"), "*")
+        row = classification_metrics(with_probability(model, df), label_col, "prediction", "positive_probability", positive_label, alpha).select(F.lit(name).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
 
 def score_fold(model, train: DataFrame, test: DataFrame, features: list[str], label_col: str, scoring: str, positive_label) -> float:
     fitted = model.fit(train, features, label_col, positive_label)
+    if scoring == "roc_auc":
+        return delong(with_probability(fitted, test), label_col, ["positive_probability"], positive_label)[0][0]
     made = fitted.transform(test)
     if callable(scoring):
         return float(scoring(made))
-    if scoring == "roc_auc":
-        return delong(made, label_col, ["positive_probability"], positive_label)[0][0]
     return float(classification_metrics(made, label_col, "prediction", None, positive_label).first()[scoring])
 
 
-def cross_validate_grouped(model, df: DataFrame, features: list[str], label_col: str, group_col: str | None = None, scoring: str | list[str] = "roc_auc", n_splits: int = 5, n_repeats: int = 3, random_state: int | None = None, positive_label=None, key_col: str | None = None, parallelism: int = 2) -> DataFrame:
+def cross_validate_grouped(model, df: DataFrame, features: list[str], label_col: str, group_col: str | None = None, scoring: str | list[str] = "roc_auc", n_splits: int = 5, n_repeats: int = 3, random_state: int | None = None, positive_label=None, key_col: str | None = None, parallelism: int = 2, cv=None) -> DataFrame:
     """A row per fold: repeat, fold and a column per metric. Folds are fitted side by side.
 
-    Without groups the folds are stratified by label only, with a warning, as matched rows may then be on both sides.
+    ``cv`` may deal the folds instead: its ``split(df, label_col, group_col)`` yields (repeat, fold, train, test). Without groups the folds are stratified by label only, with a warning, as matched rows may then be on both sides.
     """
     names = [scoring] if isinstance(scoring, str) or callable(scoring) else list(scoring)
-    if group_col is None:
+    if cv is not None:
+        folds = list(cv.split(df, label_col, group_col))
+    elif group_col is None:
         warnings.warn("no groups: folds are stratified only, and matched rows may be on both sides", stacklevel=2)
         key = key_col or df.columns[0]
         folds = []

@@ -86,19 +86,18 @@ def native_features(df: DataFrame, group_cols: list[str], order_col: str, value_
 
 
 def frame_features(df: DataFrame, group_cols: list[str], order_col: str, value_col: str, activation_threshold: str | float = "mean") -> DataFrame:
-    """All 31 features for each group of frame rows."""
-
-    @F.pandas_udf("pacf5_sumsq double, sample_entropy double, permutation_entropy double, spectral_entropy double")
-    def rest(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for v in values:
-            x = np.asarray(v, float)
-            pacf = S.NAN if S.is_constant(x) else float(np.nansum(S.partial_autocorrelations(S.autocorrelations(x, 5)) ** 2))
-            rows.append((pacf, S.sample_entropy(x), S.permutation_entropy(x), S.spectral_entropy(x)))
-        return pd.DataFrame(rows, columns=["pacf5_sumsq", "sample_entropy", "permutation_entropy", "spectral_entropy"])
-
-    found = native_features(df, group_cols, order_col, value_col, activation_threshold, with_values=True).withColumn("_r", rest("_values"))
-    return found.select(*group_cols, *[(F.col(f) if f in NATIVE else missing_to_null(F.col(f"_r.{f}"))).alias(f) for f in FEATURE_NAMES])
+    """All 31 features for each group of frame rows. Each of the four in Arrow is a function of its own, so those not asked for aren't worked out."""
+
+    def of_values(f: Callable[[np.ndarray], float]) -> Column:
+        @F.pandas_udf("double")
+        def run(values: pd.Series) -> pd.Series:
+            return pd.Series([f(np.asarray(v, float)) for v in values], dtype=float)
+
+        return missing_to_null(run("_values"))
+
+    rest = {"pacf5_sumsq": S.pacf5_sumsq, "sample_entropy": S.sample_entropy, "permutation_entropy": S.permutation_entropy, "spectral_entropy": S.spectral_entropy}
+    found = native_features(df, group_cols, order_col, value_col, activation_threshold, with_values=True)
+    return found.select(*group_cols, *[(of_values(rest[f]) if f in rest else F.col(f)).alias(f) for f in FEATURE_NAMES])
 
 
 def apply_rowwise(df: DataFrame, fn: Callable[[np.ndarray], dict[str, float]], names: list[str], values: Column, keep: list[str]) -> DataFrame:

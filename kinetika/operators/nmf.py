@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetika.functions import stats
@@ -42,11 +42,25 @@ def solve_rows(x: np.ndarray, h: np.ndarray, sweeps: int = 200, tol: float = 1e-
     return w
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    column = batch.column("x")
+def _values(columns: list[str]) -> Column:
+    """The columns as one array of doubles; a missing, infinite or negative value is an error when the row is read."""
+
+    def checked(name: str) -> Column:
+        value = F.col(name).cast("double")
+        known = value.isNotNull() & ~F.isnan(value) & (value < float("inf")) & (value >= 0)
+        return F.when(known, value).otherwise(F.raise_error(F.lit(f"column {name!r} has values that are missing, infinite or negative")).cast("double"))
+
+    return F.array(*[checked(c) for c in columns])
+
+
+def _flat(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(len(column), -1)
 
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return _flat(batch.column("x"))
+
+
 def _sums(rows: DataFrame, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """W'X, W'W and the squared error, for the best W."""
     k, p = h.shape
@@ -72,7 +86,7 @@ class NMFDecomposer:
         self.n_components, self.columns, self.column_pattern, self.prefix, self.random_state, self.max_iter, self.tol = n_components, columns, column_pattern, prefix, random_state, max_iter, tol
 
     def _rows(self, df: DataFrame) -> DataFrame:
-        return df.select(F.array(*[F.col(c).cast("double") for c in self.columns_]).alias("x"))
+        return df.select(_values(self.columns_).alias("x"))
 
     def _start(self, rows: DataFrame, p: int) -> np.ndarray:
         """Non-negative double SVD: right vectors from the p x p Gram matrix, signs by the larger half."""
@@ -131,11 +145,12 @@ class NMFDecomposer:
         """``df`` with ``_w``, the weights of every row as an array."""
         h = self.components_
 
-        @F.pandas_udf("array<double>")
-        def solve(x: pd.Series) -> pd.Series:
-            return pd.Series(list(solve_rows(np.stack(x.to_numpy()).astype(float), h)))
+        @F.arrow_udf("array<double>")
+        def solve(x: pa.Array) -> pa.Array:
+            w = solve_rows(_flat(x), h)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1) * w.shape[1], pa.int32()), pa.array(w.ravel()))
 
-        return df.withColumn("_w", solve(F.array(*[F.col(c).cast("double") for c in self.columns_])))
+        return df.withColumn("_w", solve(_values(self.columns_)))
 
     def transform(self, df: DataFrame) -> DataFrame:
         if not hasattr(self, "components_"):
@@ -187,18 +202,28 @@ def nmf_rank_mse_sweep(df: DataFrame, ranks=range(2, 11), columns: list[str] | N
 
 
 def masked_nmf(x: np.ndarray, mask: np.ndarray, k: int, max_iter: int = 500, tol: float = 1e-6, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Multiplicative updates on the observed entries alone, H before W, until the relative gain is under ``tol``."""
-    rng = np.random.default_rng(seed)
-    seen = np.where(mask, x, 0.0)
-    scale = math.sqrt(max(seen.sum() / max(mask.sum(), 1), _EPS) / k)
-    w, h, before = rng.uniform(0, scale, (len(x), k)), rng.uniform(0, scale, (k, x.shape[1])), None
+    """A non-negative factorisation of the entries that ``mask`` shows, by coordinate descent.
+
+    One component after another is solved exactly for what the others leave over, its columns of W and then its row of H; the leftovers are
+    kept up to date. It ends when a round gains less than ``tol`` of the error.
+    """
+    observed = mask.astype(float)
+    draw = np.random.default_rng(seed).random
+    level = math.sqrt(max(float((x * observed).sum()), _EPS) / max(float(observed.sum()), 1.0) / k)
+    w, h = 2 * level * draw((len(x), k)), 2 * level * draw((k, x.shape[1]))
+    left = observed * (np.where(mask, x, 0.0) - w @ h)
+    error = float((left**2).sum())
     for _ in range(max_iter):
-        h *= (w.T @ seen) / (w.T @ (mask * (w @ h)) + _EPS)
-        w *= (seen @ h.T) / ((mask * (w @ h)) @ h.T + _EPS)
-        error = float((mask * (seen - w @ h) ** 2).sum())
-        if not np.isfinite(error) or (before is not None and before - error < tol * max(before, _EPS)):
+        for j in range(k):
+            step = np.maximum((left @ h[j]) / np.maximum(observed @ h[j] ** 2, _EPS), -w[:, j])
+            w[:, j] += step
+            left -= observed * np.outer(step, h[j])
+            step = np.maximum((w[:, j] @ left) / np.maximum(w[:, j] ** 2 @ observed, _EPS), -h[j])
+            h[j] += step
+            left -= observed * np.outer(w[:, j], step)
+        gained, error = error, float((left**2).sum())
+        if gained - error < tol * max(gained, _EPS):
             break
-        before = error
     return w, h
 
 
@@ -206,7 +231,7 @@ def _local(df: DataFrame, names: list[str]) -> np.ndarray:
     n = df.count()
     if n * len(names) > MOST_LOCAL_VALUES:
         raise ValueError(f"{n} x {len(names)} values are more than a sweep takes into each task ({MOST_LOCAL_VALUES}); sample rows first, or use method='als'")
-    return np.array([r.x for r in df.select(F.array(*[F.col(c).cast("double") for c in names]).alias("x")).collect()], float).reshape(-1, len(names))
+    return np.array([r.x for r in df.select(_values(names).alias("x")).collect()], float).reshape(-1, len(names))
 
 
 def nmf_rank_cv_sweep(df: DataFrame, ranks=range(2, 11), test_fraction: float = 0.1, n_replicates: int = 3, n_seeds: int = 1, columns: list[str] | None = None, column_pattern: str = "^smth_", random_state: int = 0, max_iter: int = 500, tol: float = 1e-6, method: str = "local") -> DataFrame:
@@ -240,8 +265,8 @@ def _als_sweep(df: DataFrame, names: list[str], ranks, test_fraction: float, rep
     from pyspark.ml.recommendation import ALS
 
     spark = df.sparkSession
-    numbered = materialize(df.select(F.array(*[F.col(c).cast("double") for c in names]).alias("x")).withColumn("row", F.monotonically_increasing_id()), "als-rows")
-    keys = materialize(numbered.select("row", F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy(F.shiftright("row", 33)).orderBy("row")).alias("n"), F.shiftright("row", 33).alias("part")), "als-keys")
+    numbered = materialize(df.select(_values(names).alias("x")).withColumn("row", F.monotonically_increasing_id()), "als-rows")
+    keys = materialize(numbered.select("row", F.dense_rank().over(Window.partitionBy(F.shiftright("row", 33)).orderBy("row")).alias("n"), F.shiftright("row", 33).alias("part")), "als-keys")
     sizes = sorted(keys.groupBy("part").count().collect())
     first, total = [], 0
     for r in sizes:

@@ -5,6 +5,8 @@ Only bounded rows are drawn: one video, one row per feature or component, or bin
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,12 +78,23 @@ def feature_cluster_data(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(n, columns[i], columns[j], float(r[i, j])) for n, i in enumerate(order) for j in order], "position int, feature string, other string, abs_corr double")
 
 
-def probability_distribution_data(df: DataFrame, label_col: str, score: str = "positive_probability", bins: int = 512) -> DataFrame:
-    """label, bin, x, density on ``bins`` even cells of 0 .. 1: counts by cell, so any number of rows can be drawn."""
-    cell = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
-    counts = df.groupBy(F.col(label_col).alias("label"), cell.alias("bin")).agg(F.count("*").alias("n"))
-    totals = df.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("all"))
-    return counts.join(F.broadcast(totals), "label").select("label", "bin", ((F.col("bin") + 0.5) / bins).alias("x"), (F.col("n") * bins / F.col("all")).alias("density"))
+def probability_distribution_data(df: DataFrame, label_col: str, score: str = "positive_probability", points: int = 512) -> DataFrame:
+    """label, x, density: a Gaussian kernel estimate of the scores of each label, at ``points`` even places from 0 to 1.
+
+    The bandwidth is Scott's. Scores are counted in 4 x ``points`` cells first, with their mean in each, so any number of rows can be drawn;
+    a label without spread has its histogram instead, in 20 cells. Rows without a score are left out.
+    """
+    value = F.col(score).cast("double")
+    known = df.select(F.col(label_col).alias("label"), value.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    cells = known.groupBy("label", F.floor(F.col("_v") * 4 * points).alias("_cell")).agg(F.count("*").alias("n"), F.avg("_v").alias("at"))
+    sizes = known.groupBy("label").agg(F.count("*").alias("all"), (F.stddev_samp("_v") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("width"))
+    grid = df.sparkSession.range(points).select((F.col("id") / (points - 1)).alias("x"))
+    spread = F.coalesce(F.col("width"), F.lit(0.0)) > 1e-12
+    joined = cells.join(F.broadcast(sizes), "label").crossJoin(F.broadcast(grid))  # labels x 4 points x points rows
+    z = (F.col("x") - F.col("at")) / F.col("width")
+    smooth = F.col("n") * F.exp(-z * z / 2) / (F.col("all") * F.col("width") * (2 * math.pi) ** 0.5)
+    same_cell = F.least(F.floor(F.col("x") * 20), F.lit(19)) == F.least(F.floor(F.col("at") * 20), F.lit(19))
+    return joined.groupBy("label", "x").agg(F.sum(F.when(spread, smooth).otherwise(F.when(same_cell, F.col("n") * 20 / F.col("all")).otherwise(0.0))).alias("density"))
 
 
 def decision_boundary_data(model, df: DataFrame, x: str, y: str, points: int = 200) -> DataFrame:

@@ -31,31 +31,45 @@ def gini_importance(x, y, n_estimators: int = 500, max_features: str | int = "sq
     return forest.importance(x, y, n_estimators, None if max_features == "sqrt" else int(max_features), random_state, "gini")
 
 
+#: Importances are held against so many shadows at least.
+LEAST_SHADOWS = 5
+
+
 @dataclass
 class BorutaRun:
-    """One run: decisions, and by iteration the importances (-inf where rejected) and those of the shadows."""
+    """What one run decided for each of ``names``, and how.
+
+    ``history`` has a row per iteration with the importance of every feature, -inf once it is rejected; ``shadows`` has the least, the
+    mean and the greatest importance of that iteration's shadows; ``hits`` counts how often a feature beat them all.
+    """
 
     names: list[str]
     decisions: list[str]
     rough_decisions: list[str]
     history: np.ndarray
-    shadows: np.ndarray  # least, mean, greatest
+    shadows: np.ndarray
     hits: np.ndarray
 
-    @property
-    def shadow_max(self) -> np.ndarray:
-        return self.shadows[:, 2]
-
     def confirmed(self, rough_fixed: bool = True) -> list[str]:
-        return [n for n, d in zip(self.names, self.rough_decisions if rough_fixed else self.decisions, strict=True) if d == CONFIRMED]
+        """The confirmed features; ``rough_fixed``: those that only the rough fix confirms as well."""
+        final = dict(zip(self.names, self.rough_decisions if rough_fixed else self.decisions, strict=True))
+        return [name for name in self.names if final[name] == CONFIRMED]
+
+    def rows(self, run: int) -> list[tuple]:
+        """One row per feature: run, feature, decision, rough_decision, share of hits and its finite importances."""
+        share = self.hits / max(len(self.history), 1)
+        return [(run, n, self.decisions[i], self.rough_decisions[i], float(share[i]), [float(v) for v in self.history[:, i] if np.isfinite(v)]) for i, n in enumerate(self.names)]
+
+
+RUN_ROWS = "run int, feature string, decision string, rough_decision string, hit_share double, importances array<double>"
 
 
 def make_shadows(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Copies of the columns, at least five, each permuted on its own."""
-    block = x
-    while block.shape[1] < 5:
-        block = np.hstack([block, block])
-    return rng.permuted(block, axis=0)
+    """The columns in a random order of rows, each in another; narrow tables are repeated, doubling until there are ``LEAST_SHADOWS``."""
+    times = 1
+    while times * x.shape[1] < LEAST_SHADOWS:
+        times *= 2
+    return rng.permuted(np.tile(x, (1, times)), axis=0)
 
 
 def do_tests(decisions: np.ndarray, hits: np.ndarray, n_iter: int, alpha: float) -> np.ndarray:
@@ -168,20 +182,18 @@ class BorutaSelector:
         return self
 
     def _summarise(self, spark: SparkSession) -> None:
-        rows = []
-        for i, name in enumerate(self.feature_columns_):
-            decisions, rough = [r.decisions[i] for r in self.runs_], [r.rough_decisions[i] for r in self.runs_]
-            medians = [float(np.median(v)) for r in self.runs_ if len(v := r.history[:, i][np.isfinite(r.history[:, i])])]
-            rows.append((name, rough.count(CONFIRMED) / len(rough), decisions.count(CONFIRMED), decisions.count(TENTATIVE), decisions.count(REJECTED), float(np.median(medians)) if medians else None))
-        self.selection_frequency_ = {r[0]: r[1] for r in rows}
+        rows = spark.createDataFrame([r for i, run in enumerate(self.runs_) for r in run.rows(i)], RUN_ROWS)
+        table = {r.feature: r for r in stability_rollup(rows).collect()}  # a row per feature
+        self.selection_frequency_ = {n: table[n].selection_freq for n in self.feature_columns_}
         limit = self.selection_threshold if self.n_repeats > 1 else 1.0
-        self.selected_columns_ = [r[0] for r in rows if r[1] >= limit and r[1] > 0]
-        self.support_ = [r[0] in self.selected_columns_ for r in rows]
-        self.support_weak_ = [any(run.decisions[i] == TENTATIVE for run in self.runs_) and not self.support_[i] for i in range(len(rows))]
-        table = spark.createDataFrame(rows, "feature string, selection_freq double, n_confirmed int, n_tentative int, n_rejected int, median_imp double").withColumn("selected", F.col("feature").isin(self.selected_columns_))
+        self.selected_columns_ = [n for n, share in self.selection_frequency_.items() if share >= limit and share > 0]
+        self.support_ = [n in self.selected_columns_ for n in self.feature_columns_]
+        self.support_weak_ = [table[n].n_tentative > 0 and n not in self.selected_columns_ for n in self.feature_columns_]
+        columns = ("selection_freq", "n_confirmed", "n_tentative", "n_rejected", "median_imp")
+        stable = spark.createDataFrame([(n, *(table[n][c] for c in columns), n in self.selected_columns_) for n in self.feature_columns_], "feature string, selection_freq double, n_confirmed int, n_tentative int, n_rejected int, median_imp double, selected boolean")
         if self.clusters_ is not None:
-            table = table.join(F.broadcast(self.clusters_), "feature", "left")
-        self.stability_ = table.orderBy(F.desc("selection_freq"), F.col("median_imp").desc_nulls_last(), "feature")
+            stable = stable.join(F.broadcast(self.clusters_), "feature", "left")
+        self.stability_ = stable.orderBy(F.desc("selection_freq"), F.col("median_imp").desc_nulls_last(), "feature")
 
     def cluster_stability(self) -> DataFrame:
         """cluster, n_features, cluster_freq, best_feature, best_feature_freq, members: a cluster counts if any member is confirmed."""
@@ -217,16 +229,16 @@ def boruta_feature_stats(spark: SparkSession, selector: BorutaSelector, run: int
     return spark.createDataFrame(rows, "feature string, meanImp double, medianImp double, minImp double, maxImp double, normHits double, decision string, roughFixedDecision string").orderBy(F.col("medianImp").desc_nulls_last(), "feature")
 
 
-def stability_rollup(history: DataFrame, confirm_share: float = 0.5) -> DataFrame:
-    """feature, median_imp, n_confirmed, selection_freq, norm_hits from rows of (run, feature, importance, hit).
+def stability_rollup(runs: DataFrame) -> DataFrame:
+    """feature, selection_freq, n_confirmed, n_tentative, n_rejected, median_imp and norm_hits from rows of ``RUN_ROWS``.
 
-    Medians are taken within each run, then over runs; a run confirms a feature if its share of hits reaches ``confirm_share``. Two
-    aggregations, so histories of any number of runs and features can be summarised.
+    ``selection_freq`` is the share of runs whose roughly fixed decision confirms; the counts are of decisions before that fix. Medians
+    are taken within each run, then over runs. Two aggregations, so any number of runs and features can be summarised.
     """
-    importance = F.when(~F.isnan("importance") & (F.abs("importance") < float("inf")), F.col("importance"))
-    runs = history.groupBy("run", "feature").agg(F.median(importance).alias("m"), (F.count_if("hit") / F.count("*")).alias("share"))
-    sure = F.col("share") >= confirm_share
-    return runs.groupBy("feature").agg(F.median("m").alias("median_imp"), F.count_if(sure).alias("n_confirmed"), F.avg(sure.cast("double")).alias("selection_freq"), F.avg("share").alias("norm_hits"))
+    medians = runs.select("run", "feature", F.explode("importances").alias("v")).groupBy("run", "feature").agg(F.median("v").alias("_median"))
+    known = runs.drop("importances").join(medians, ["run", "feature"], "left")
+    counts = [F.count_if(F.col("decision") == d).cast("int").alias(f"n_{d.lower()}") for d in (CONFIRMED, TENTATIVE, REJECTED)]
+    return known.groupBy("feature").agg(F.avg((F.col("rough_decision") == CONFIRMED).cast("double")).alias("selection_freq"), *counts, F.median("_median").alias("median_imp"), F.avg("hit_share").alias("norm_hits"))
 
 
 def importance_top_k(df: DataFrame, label_col: str, feature_columns: list[str], k: int = 8, n_seeds: int = 20, n_estimators: int = 500, importance: str = "permutation", random_state: int = 0) -> DataFrame:

@@ -29,9 +29,10 @@ class RollingSmoother:
         columns = by_pattern(df, getattr(self, "columns_", self.columns), self.column_pattern)
         ordered = Window.partitionBy(self.group_col).orderBy(self.order_col)
         ahead = ordered.rowsBetween(0, self.window - 1)
-        past, future = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(0, Window.unboundedFollowing)
+        past, whole = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         rolled = {f"_rolled_{i}": F.when((F.count(missing_to_null(F.col(c))).over(ahead) == self.window) & F.col(self.group_col).isNotNull(), F.avg(missing_to_null(F.col(c))).over(ahead)) for i, c in enumerate(columns)}
-        filled = {self.prefix + c: F.coalesce(F.last(f"_rolled_{i}", ignorenulls=True).over(past), F.first(f"_rolled_{i}", ignorenulls=True).over(future)) for i, c in enumerate(columns)}
+        # Only rows before the first known value lack a past one, and for them it is the first of the whole series: one value a series.
+        filled = {self.prefix + c: F.coalesce(F.last(f"_rolled_{i}", ignorenulls=True).over(past), F.first(f"_rolled_{i}", ignorenulls=True).over(whole)) for i, c in enumerate(columns)}
         return df.withColumns(rolled).withColumns(filled).drop(*rolled)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:

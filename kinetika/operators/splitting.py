@@ -3,21 +3,16 @@
 from __future__ import annotations
 
 import math
-import random
 import warnings
-from collections import defaultdict
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetika.functions.labels import pair_key
+from kinetika.operators.ordered import running_totals
 from kinetika.session import materialize
 
-#: Edges beyond which groups are found by joins instead of on the driver.
-DRIVER_EDGES = 200_000
-
 
 def seeded_order(key: Column, seed: int | None) -> Column:
     """A pseudo-random order of keys that every engine with MD5 repeats."""
@@ -146,8 +141,9 @@ def pair_group_report(df: DataFrame, video_col: str = "video_filename", group_co
 class RepeatedStratifiedGroupKFold:
     """Folds that keep groups whole and label shares even; ``assign`` returns ``repeat``, the group and ``fold``.
 
-    Groups are dealt greedily, those with the most uneven labels first, to the fold that keeps label counts most even. A row per
-    group goes to the driver, not a row of data.
+    Groups are sorted by their counts of each label, the largest first, and in a seeded order among equals, and dealt to the folds in
+    turn, there and back. So each fold gets its share of every kind of group. Positions are running totals over ranges: no task
+    holds all groups and none go to the driver.
     """
 
     def __init__(self, n_splits: int = 5, n_repeats: int = 3, random_state: int | None = None) -> None:
@@ -158,31 +154,20 @@ class RepeatedStratifiedGroupKFold:
     def assign(self, df: DataFrame, label_col: str, group_col: str | None) -> DataFrame:
         if group_col is None or label_col is None:
             raise ValueError("groups and labels are required")
-        counts: dict[object, dict] = defaultdict(dict)
-        for r in df.groupBy(group_col, label_col).count().collect():
-            counts[r[0]][r[1]] = r[2]
-        labels = sorted({x for c in counts.values() for x in c}, key=str)
-        if len(counts) < self.n_splits:
-            raise ValueError(f"{len(counts)} groups can't fill {self.n_splits} folds")
-        table = {g: np.array([c.get(x, 0) for x in labels], float) for g, c in counts.items()}
-        total = np.maximum(sum(table.values()), 1)
-        rows = []
+        labels = sorted((r[0] for r in df.select(label_col).distinct().collect()), key=lambda v: (v is not None, str(v)))  # few: they are classes
+        counts = [F.count_if(F.col(label_col).eqNullSafe(F.lit(x))).alias(f"n{i}") for i, x in enumerate(labels)]
+        groups = materialize(df.groupBy(F.col(group_col).alias("group")).agg(F.count("*").alias("size"), *counts), "fold-groups")
+        if (n := groups.count()) < self.n_splits:
+            raise ValueError(f"{n} groups can't fill {self.n_splits} folds")
+        profile = F.concat(*[F.lpad((F.lit(10**15) - F.col(c)).cast("string"), 16, "0") for c in ("size", *[f"n{i}" for i in range(len(labels))])])
+        out = None
         for repeat in range(self.n_repeats):
-            rng = random.Random(f"{self.random_state}-{repeat}")
-            groups = sorted(table, key=str)
-            rng.shuffle(groups)
-            groups.sort(key=lambda g: -table[g].std())
-            held = np.zeros((self.n_splits, len(labels)))
-            for g in groups:
-                costs = []
-                for fold in range(self.n_splits):
-                    held[fold] += table[g]
-                    costs.append(((held / total).std(axis=0).mean(), held[fold].sum(), fold))
-                    held[fold] -= table[g]
-                best = min(costs, key=lambda c: (round(c[0], 12), c[1], c[2]))[2]
-                held[best] += table[g]
-                rows.append((repeat, g, best))
-        return df.sparkSession.createDataFrame(rows, f"repeat int, `{group_col}` {df.schema[group_col].dataType.simpleString()}, fold int")
+            placed = running_totals(groups.select("group", F.concat(profile, seeded_order(F.col("group"), (self.random_state or 0) + 1000 * repeat)).alias("key"), F.lit(1).alias("one")), "key", ["one"])
+            turn, place = F.floor(F.col("before_one") / self.n_splits), F.pmod(F.col("before_one").cast("long"), F.lit(self.n_splits))
+            fold = F.when(turn % 2 == 0, place).otherwise(self.n_splits - 1 - place).cast("int")
+            part = placed.select(F.lit(repeat).alias("repeat"), F.col("group").alias(group_col), fold.alias("fold"))
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def get_n_splits(self) -> int:
         return self.n_splits * self.n_repeats

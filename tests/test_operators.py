@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import kinetika as K
 from kinetika.functions import series as S
 from kinetika.functions.columns import min_max_scaled
-from kinetika.operators import cleaning, evaluation, external, features, nmf, ordered, plots, reshape, selection, splitting, tuning
+from kinetika.operators import classifiers, cleaning, evaluation, external, features, nmf, ordered, plots, reshape, selection, splitting, tuning
 
 
 def series(spark, values, group="v"):
@@ -222,7 +222,7 @@ def test_boruta_state_machine():
     assert list(selection.tentative_rough_fix(np.array(["Tentative"] * 2, object), history, np.array([0.5, 0.5]))) == ["Confirmed", "Rejected"]
     assert selection.make_shadows(np.ones((4, 2)), np.random.default_rng(0)).shape == (4, 8)
     run = selection.boruta_run(np.zeros((30, 2)), np.arange(30) % 2, ["a", "b"], lambda x, y, seed: np.r_[5.0, np.zeros(x.shape[1] - 1)], max_iter=40)
-    assert run.confirmed() == ["a"] and run.decisions[1] == "Rejected" and len(run.shadow_max) == len(run.history) <= 39
+    assert run.confirmed() == ["a"] and run.decisions[1] == "Rejected" and len(run.shadows) == len(run.history) <= 39
 
 
 def test_boruta_selector(spark):
@@ -339,20 +339,184 @@ def test_cross_validation_and_tuning(labelled):
     assert top[0].feature == "f0" and top[0].top_freq == 1 and K.RepeatedStratifiedGroupKFold(4, 2).get_n_splits() == 8
 
 
-def test_threshold_rules():
-    curve = [{"threshold": t, "score_mean": s, "score_se": e} for t, s, e in ((0.0, 0.7, 0.02), (0.5, 0.69, 0.02), (0.8, 0.6, 0.02), (1.0, float("nan"), float("nan")))]
-    assert tuning.select_threshold(curve, "best") == 0 and tuning.select_threshold(curve) == 0.5
+def test_threshold_rules(spark):
+    def curve(*rows):
+        return spark.createDataFrame(rows, "threshold double, score_mean double, score_se double")
+
+    whole = curve((0.0, 0.7, 0.02), (0.25, 0.7, 0.5), (0.5, 0.69, 0.02), (0.8, 0.6, 0.02), (1.0, None, None))
+    assert tuning.select_threshold(whole, "best") == 0 and tuning.select_threshold(whole) == 0.5
     with pytest.raises(ValueError):
-        tuning.select_threshold(curve, "x")
+        tuning.select_threshold(whole, "x")
     with pytest.raises(ValueError):
-        tuning.select_threshold(curve[-1:])
+        tuning.select_threshold(whole.filter("threshold = 1"))
     with pytest.warns(UserWarning):
-        assert tuning.select_threshold([{"threshold": 0.3, "score_mean": 0.5, "score_se": float("nan")}]) == 0.3
+        assert tuning.select_threshold(curve((0.3, 0.5, None))) == 0.3
+    splits = spark.createDataFrame([(0, 0.5, 3, 0.8, 0.1), (0, 0.7, 2, 0.6, 0.1), (1, 0.7, 4, 0.8, 0.3), (0, 0.9, 0, None, None), (1, 0.9, 0, float("nan"), None)], "split int, threshold double, n_features int, score double, score_se double")
+    made = {r.threshold: r for r in tuning.curve_of(splits).collect()}
+    assert made[0.5].score_se == 0.1 and made[0.7].score_se == pytest.approx(0.1) and made[0.7].n_features_mean == 3 and made[0.9].score_mean is None and made[0.9].n_splits_scored == 0
     assert K.threshold_grid(4) == [0, 0.25, 0.5, 0.75, 1]
     with pytest.raises(ValueError):
         K.threshold_grid(0)
 
 
+def test_tuning_leaves_groups_and_the_callers_selector_alone(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    frame = spark.createDataFrame([(i // 2, int(i % 2), float(i % 2 + rng.normal()), float(rng.normal())) for i in range(40)], "pair int, y int, a double, b double")
+    seen = []
+    monkeypatch.setattr(tuning, "threshold_sweep", lambda selector, *a, **k: seen.append(list(selector.feature_columns_)) or [{"threshold": 0.5, "n_features": 1, "features": ["a"], "score": 0.6, "score_se": 0.1}])
+    mine = K.BorutaSelector(n_repeats=2, n_estimators=5, max_iter=3)
+    K.tune_selection_threshold(frame, "y", "pair", selector=mine, n_splits=2, n_repeats=1, refit=False)
+    assert seen == [["a", "b"]] and mine.feature_columns is None
+
+
+def test_sample_entropy_counts_every_pair():
+    rng = np.random.default_rng(8)
+    for n in (5, 40, 700):
+        for x in (rng.normal(size=n), np.round(rng.normal(size=n), 1), np.arange(n) % 7 * 1.0):
+            reach = 0.2 * x.std(ddof=1)
+            expected = []
+            for m in (2, 3):
+                views = np.array([x[i : i + m] for i in range(n - m + 1)])
+                expected.append(sum(int((np.abs(views[i + 1 :] - views[i]).max(axis=1) <= reach).sum()) for i in range(len(views) - 1)))
+            assert S.close_templates(x, 2, reach) == tuple(expected), n
+    assert math.isnan(S.sample_entropy(np.ones(9))) and math.isnan(S.sample_entropy(np.array([1.0, 2.0])))
+    x = np.array([1.0, 2.0, 1.0, 1.0, 3.0, 2.0, 2.0, 5.0])
+    patterns = [tuple(sorted(range(3), key=lambda j: (x[i + j], j))) for i in range(6)]
+    share = np.array([patterns.count(p) / 6 for p in set(patterns)])
+    assert S.permutation_entropy(x) == pytest.approx(-(share * np.log(share)).sum() / math.log(6))
+
+
+def test_long_series_are_smoothed_and_measured_in_time(spark):
+    import time
+
+    long = spark.range(80_000).select(F.lit("v").alias("video_filename"), F.col("id").alias("frame"), F.when(F.col("id") % 50 > 3, F.rand(1)).alias("AU01_r"))
+    smoother = K.RollingSmoother().fit(long)
+    smoother.transform(long.limit(100)).count()
+    began = time.perf_counter()
+    smoother.transform(long).agg(F.sum("smth_AU01_r")).first()
+    assert time.perf_counter() - began < 5
+    began = time.perf_counter()
+    assert S.sample_entropy(np.random.default_rng(1).normal(size=20_000)) > 0
+    assert time.perf_counter() - began < 20
+
+
+def test_missing_values_are_refused_by_factorisation(spark):
+    frame = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (0.5, 0.0)], "smth_a double, smth_b double")
+    model = K.NMFDecomposer(1, random_state=1).fit(frame)
+    for bad in (None, float("nan"), -1.0, float("inf")):
+        odd = frame.union(spark.createDataFrame([(bad, 1.0)], frame.schema))
+        with pytest.raises(Exception, match="missing, infinite or negative"):
+            K.NMFDecomposer(1).fit(odd)
+        with pytest.raises(Exception, match="missing, infinite or negative"):
+            model.transform(odd).collect()
+
+
+def test_masked_factorisation_gains_every_round():
+    rng = np.random.default_rng(3)
+    x, mask = rng.random((30, 8)) @ np.diag(np.arange(1, 9.0)), rng.random((30, 8)) > 0.2
+    errors = []
+    for rounds in (1, 2, 4, 8, 30):
+        w, h = nmf.masked_nmf(x, mask, 3, rounds, 0.0, 1)
+        assert (w >= 0).all() and (h >= 0).all()
+        errors.append((((x - w @ h) * mask) ** 2).sum())
+    assert all(b <= a + 1e-9 for a, b in zip(errors, errors[1:], strict=False)) and errors[-1] < 0.5 * errors[0]
+
+
+def test_folds_keep_groups_whole_and_labels_even(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, ["a", "b", None][int(rng.integers(0, 3))]) for g in range(203) for _ in range(int(rng.integers(1, 9)))]
+    frame = spark.createDataFrame(rows, "g int, y string")
+    folds = K.RepeatedStratifiedGroupKFold(5, 3, 1).assign(frame, "y", "g")
+    assert folds.count() == 3 * 203 and folds.groupBy("repeat", "g").count().filter("count > 1").count() == 0
+    counts = folds.join(frame, "g").groupBy("repeat", "fold").agg(F.count_if(F.col("y") == "a").alias("a"), F.count("*").alias("n"), F.countDistinct("g").alias("groups")).collect()
+    for repeat in range(3):
+        own = [r for r in counts if r.repeat == repeat]
+        assert len(own) == 5 and max(r.groups for r in own) - min(r.groups for r in own) <= 1
+        assert max(r.n for r in own) - min(r.n for r in own) <= 0.05 * len(rows) and max(r.a for r in own) - min(r.a for r in own) <= 0.06 * len(rows)
+    again = K.RepeatedStratifiedGroupKFold(5, 3, 1).assign(frame.repartition(7), "y", "g")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, folds.collect()))
+    assert sorted(map(tuple, K.RepeatedStratifiedGroupKFold(5, 1, 2).assign(frame, "y", "g").collect())) != sorted(map(tuple, folds.filter("repeat = 0").collect()))
+    with pytest.raises(ValueError):
+        K.RepeatedStratifiedGroupKFold(5).assign(frame.filter("g < 3"), "y", "g")
+
+
+def test_stability_of_runs(spark):
+    rows = [(0, "a", "Confirmed", "Confirmed", 0.9, [1.0, 3.0, 2.0]), (1, "a", "Tentative", "Confirmed", 0.5, [5.0]), (2, "a", "Rejected", "Rejected", 0.1, [])]
+    rows += [(r, "b", "Rejected", "Rejected", 0.0, []) for r in range(3)]
+    got = {r.feature: r for r in selection.stability_rollup(spark.createDataFrame(rows, selection.RUN_ROWS)).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.selection_freq, a.n_confirmed, a.n_tentative, a.n_rejected, a.median_imp, a.norm_hits) == (pytest.approx(2 / 3), 1, 1, 1, 3.5, pytest.approx(0.5))
+    assert (b.selection_freq, b.n_rejected, b.median_imp) == (0, 3, None)
+
+
+def test_kernel_machine_separates_a_ring(spark):
+    rng = np.random.default_rng(6)
+    angle, far = rng.uniform(0, 2 * math.pi, 300), np.repeat([0.5, 2.0], 150)
+    points = np.c_[far * np.cos(angle), far * np.sin(angle)] + rng.normal(0, 0.15, (300, 2))
+    frame = spark.createDataFrame([(float(a), float(b), "out" if r > 1 else "in") for (a, b), r in zip(points, far, strict=True)], "a double, b double, y string")
+    made = K.make_classifier("svm_rbf", C=1.0).fit(frame, ["a", "b"], "y", "out").transform(frame)
+    assert K.classification_metrics(made, "y", "prediction", "positive_probability", "out").first().accuracy > 0.98
+    y = np.where(far > 1, 1.0, -1.0)
+    machine = classifiers.KernelMachine.fit(points, y, 1.0, 0.5, 1e-4)
+    alpha, margin = machine.weight, machine.margin(machine.support)
+    inside = np.abs(alpha) < 1 - 1e-6  # free support vectors lie on the margin, the others within it
+    assert abs(alpha.sum()) < 1e-6 and np.allclose(margin[inside] * np.sign(alpha[inside]), 1, atol=1e-3) and (margin * np.sign(alpha) <= 1 + 1e-3).all()
+
+
+def test_models_without_probabilities(labelled):
+    class Bare:
+        def fit(self, *a):
+            return self
+
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("y"))
+
+    with pytest.raises(TypeError, match="positive_probability"):
+        K.evaluate_models({"bare": Bare()}, labelled, "y", "fake")
+    with pytest.raises(TypeError):
+        K.cross_validate_grouped(Bare(), labelled, ["f0"], "y", "pair_group", n_splits=2, n_repeats=1, positive_label="fake")
+
+    class Halves:
+        def split(self, df, label_col, group_col):
+            for fold in (0, 1):
+                own = F.pmod(F.xxhash64(group_col), F.lit(2)) == fold
+                yield 0, fold, df.filter(~own), df.filter(own)
+
+    rows = K.cross_validate_grouped(Bare(), labelled, ["f0"], "y", "pair_group", "accuracy", positive_label="fake", cv=Halves()).collect()
+    assert [(r.fold, r.accuracy) for r in rows] == [(0, 1.0), (1, 1.0)]
+
+
+def test_density_against_sums(spark):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.random(300), "b": rng.beta(2, 5, 500), "flat": np.full(9, 0.33)}
+    frame = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x] + [("a", None)], "y string, s double")
+    got = plots.probability_distribution_data(frame, "y", "s", 64).collect()
+    assert len(got) == 3 * 64
+    for r in got:
+        x = values[r.label]
+        if r.label == "flat":
+            assert r.density == (20 if 0.3 <= r.x < 0.35 else 0)
+            continue
+        width = x.std(ddof=1) * len(x) ** -0.2
+        assert r.density == pytest.approx(np.exp(-(((r.x - x) / width) ** 2) / 2).sum() / (len(x) * width * math.sqrt(2 * math.pi)), rel=2e-3)
+
+
+def test_matrix_extractors(spark):
+    from kinetika.operators import external
+
+    wide = spark.createDataFrame([("v1", 1.0, 2.0, 3.0), ("v2", 4.0, 5.0, 9.0), ("v3", 0.0, 0.0, 0.0)], "video string, fr_1 double, fr_2 double, fr_3 double")
+    calls = external.MatrixFeatureExtractor(lambda m: {"mean": m.mean(axis=1), "rows": np.full(len(m), float(len(m)))})
+    assert {r.video: r["mean"] for r in calls.transform(wide.coalesce(1)).collect()} == {"v1": 2, "v2": 6, "v3": 0}
+    assert {r.rows for r in calls.transform(wide.coalesce(1)).collect()} == {3.0}
+    named = external.MatrixFeatureExtractor(lambda m: m[:, :2], ["first", "second"])
+    assert {r.video: (r.first, r.second) for r in named.transform(wide).collect()}["v2"] == (4, 5)
+    with pytest.raises(TypeError):
+        external.as_feature_table(np.ones((2, 3)), 2, ["a"])
+    with pytest.raises(ValueError):
+        external.as_feature_table({"a": [1.0]}, 2)
+    assert K.RFeatureExtractor("p", per_row=True).per_row and not K.RFeatureExtractor("p").per_row
+
+
 def test_min_max(spark):
     out = min_max_scaled(spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (None, 5.0)], "a double, b double"), ["a", "b"]).collect()
     assert [tuple(r) for r in out] == [(0, 0), (1, 0), (None, 0)]
