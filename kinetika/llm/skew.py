@@ -32,6 +32,15 @@ def hot_join(left: DataFrame, per_key: DataFrame, key: str, how: str = "inner",
     return hit.unionByName(rest.join(cold, key, how))
 
 
+#: Narrow tables of up to so many rows are broadcast, some 50 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join ``left`` with a written table of a few fixed-size columns: by broadcast while it has few rows, by shuffle beyond."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+
+
 #: ``split_by_bits`` has so many bits, in maps of ``_MAP_BITS`` each: 4 MB in all, whatever the number of keys.
 FILTER_BITS = 1 << 25
 _MAP_BITS = 32_768
