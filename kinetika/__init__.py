@@ -11,7 +11,6 @@ _EXPORTS = {
     "operators.classifiers": "CLASSIFIER_NAMES fit_classifiers make_classifier make_classifiers",
     "operators.cleaning": "FeatureCleaner feature_diagnostics",
     "operators.evaluation": "classification_metrics confusion_matrix_frame cross_validate_grouped delong_roc_test evaluate_models roc_auc_delong_ci",
-    "operators.external": "CallableFeatureExtractor RFeatureExtractor cmfts_r_features",
     "operators.features": "FEATURE_GROUPS FEATURE_NAMES TimeSeriesFeatureExtractor apply_rowwise extract_timeseries_features frame_features",
     "functions.series": "extract_features",
     "operators.nmf": "NMFDecomposer nmf_cophenetic_correlation nmf_rank_cv_sweep nmf_rank_mse_sweep nmf_reconstruction_error nmf_reconstruction_r2_per_au",
@@ -23,6 +22,9 @@ _EXPORTS = {
     "operators.smoothing": "RollingSmoother",
     "operators.splitting": "RepeatedStratifiedGroupKFold group_train_test_split pair_group_report pair_groups pair_groups_from_filenames paired_train_test_split",
     "operators.tuning": "ThresholdTuningResult threshold_grid threshold_sweep tune_selection_threshold",
+    "operators.external": "CallableFeatureExtractor MatrixFeatureExtractor RFeatureExtractor cmfts_r_features",
+    "operators.faces": "FaceModel load_face_model",
+    "persistence": "load save",
     "plans": "DynamicsPipeline",
 }
 _HOME = {name: module for module, names in _EXPORTS.items() for name in names.split()}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kinetika.functions import stats
 from kinetika.functions.labels import humanise_au_label
-from kinetika.operators import evaluation
+from kinetika.operators import evaluation, faces
 from kinetika.operators.cleaning import feature_diagnostics
 from kinetika.operators.nmf import NMFDecomposer, nmf_reconstruction_r2_per_au
 from kinetika.operators.selection import BorutaSelector, abs_correlations, boruta_feature_stats
@@ -143,10 +143,23 @@ def plot_nmf_basis_heatmap(spark, decomposer, save_path=None, output_dir=None, d
     return figure, axes
 
 
-def plot_nmf_face_maps(spark, decomposer, save_path=None, output_dir=None, dpi=300):
-    """The weights that shade a face's muscles, a bar per action unit and component."""
-    table = nmf_basis_data(spark, decomposer).toPandas().pivot(index="label", columns="component", values="weight")
-    return _draw(table, "barh", "Muscle weights by component", save_path, output_dir, dpi)
+def plot_nmf_face_maps(spark, decomposer, model=None, units=None, save_path=None, output_dir=None, dpi=300):
+    """A face for each component, its muscles shaded by weight; without a face ``model``, a bar per action unit and component."""
+    if model is None:
+        table = nmf_basis_data(spark, decomposer).toPandas().pivot(index="label", columns="component", values="weight")
+        return _draw(table, "barh", "Muscle weights by component", save_path, output_dir, dpi)
+    rows = faces.face_map_data(spark, decomposer, model, units).collect()
+    figure, axes = _axes()
+    for r in rows:
+        column = int(r.component.removeprefix(decomposer.prefix)) - 1
+        corners = np.array([(c.x + 200 * column, -c.y) for c in r.corners])
+        axes.fill(corners[:, 0], corners[:, 1], color="firebrick", alpha=min(max(r.shade or 0.0, 0.0), 1.0))
+    for j, weights in enumerate(decomposer.components_):
+        shade = {faces.extract_au_code(c): w / max(weights.max(), 1e-12) for c, w in zip(decomposer.columns_, weights, strict=True)}
+        for line in faces.outline_paths(model.predict(np.array([shade.get(faces.extract_au_code(u) or u, 0.0) for u in units]))[0]).values():
+            axes.plot(line[:, 0] + 200 * j, -line[:, 1], color="black", linewidth=0.8)
+    save_figure(figure, save_path, output_dir, dpi)
+    return figure, axes
 
 
 def plot_nmf_reconstruction(decomposer, df, video, column, save_path=None, output_dir=None, dpi=300):
