@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetika.functions import columns as C
-from kinetika.functions.labels import AU_DESCRIPTIONS, au_code, au_label, pair_key
+from kinetika.functions.labels import AU_DESCRIPTIONS, au_code, au_label
 from kinetika.operators import classifiers, cleaning, evaluation, features, nmf, normalisation, ordered, plots, reshape, selection, smoothing, splitting, tuning
 from kinetika.session import materialize
 from kinetika.streaming import windowed_features
@@ -219,11 +219,6 @@ def features_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(features.frame_features(events, ["user_id"], "event_id", "value").select("user_id", "permutation_entropy", "sample_entropy"))
 
 
-@_query()
-def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.frame_features(_read(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value")
-
-
 @_query("SELECT prediction, count(*) FILTER (quality = 0) AS \"0\", count(*) FILTER (quality = 1) AS \"1\" FROM (SELECT CAST(1 - toxic AS INTEGER) AS prediction, quality FROM labels) GROUP BY prediction")
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _read(spark, sf_dir, "labels").select("quality", (1 - F.col("toxic")).cast("int").alias("guess"))
@@ -338,7 +333,7 @@ def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, scene = F.col("c_custkey").cast("string"), F.concat(F.lit("__scene_"), F.col("c_nationkey").cast("string"))
     real = F.col("c_custkey") % 3 == 0
     rows = _read(spark, sf_dir, "customer").select("c_custkey", F.when(real, F.concat(key, F.lit("__scene"))).otherwise(F.concat(key, F.lit("_99"), scene, F.lit("__ABCD"))).alias("name"), F.when(real, "real").otherwise("fake").alias("label"))
-    return rows.select("c_custkey", pair_key(F.col("name"), F.col("label")).alias("pair_group"))
+    return splitting.pair_groups_from_filenames(rows, "name", "label").select("c_custkey", "pair_group")
 
 
 @_query(
@@ -375,7 +370,13 @@ def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(windowed_features(_read(spark, sf_dir, "events"), "user_id", "ts", "value", "1 hour"))
 
 
-@_query("WITH c AS (SELECT quality AS label, least(floor(l * 32), 31) AS b FROM (SELECT quality, (length(text) % 1000) / 1000.0 AS l FROM labels JOIN documents USING (doc_id))) SELECT label, CAST(b AS INTEGER) AS bin, " + _r("(b + 0.5) / 32", "x") + ", " + _r("count(*) * 32 / CAST(sum(count(*)) OVER (PARTITION BY label) AS DOUBLE)", "density") + " FROM c GROUP BY label, b")
+@_query(
+    "WITH v AS (SELECT quality AS label, (length(text) % 1000) / 1000.0 AS v FROM labels JOIN documents USING (doc_id)), c AS (SELECT label, floor(v * 128) AS cell, count(*) AS n, avg(v) AS middle FROM v GROUP BY ALL), s AS (SELECT label, count(*) AS total, stddev_samp(v) * pow(count(*), -0.2) AS width FROM v GROUP BY label), g AS (SELECT unnest(range(0, 32)) / 31.0 AS x) SELECT label, "
+    + _r("x", "x")
+    + ", "
+    + _r("sum(n * exp(-pow((x - middle) / width, 2) / 2)) / (max(total) * max(width) * sqrt(2 * pi()))", "density")
+    + " FROM c JOIN s USING (label), g GROUP BY label, x"
+)
 def score_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", ((F.length("text") % 1000) / 1000.0).alias("s"))
     return _rounded(plots.probability_distribution_data(_read(spark, sf_dir, "labels").join(docs, "doc_id"), "quality", "s", 32))
@@ -386,19 +387,70 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("l_orderkey", "l_linenumber", *[(F.col(c) * scale).alias(f"smth_{c}") for c, scale in zip(SIGNALS, (0.02, 1e-5, 10.0, 12.0), strict=True)])
 
 
-@_query()
-def nmf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gram_power() -> str:
+    """The leading direction of the matrix's 4 x 4 Gram table, by 60 squarings' worth of power iteration: the best basis of rank one."""
+    cells = [f"sum(x{i} * x{j}) AS g{i}{j}" for i in range(4) for j in range(4)]
+    steps = ["p0 AS (SELECT *, CAST(0.5 AS DOUBLE) AS v0, CAST(0.5 AS DOUBLE) AS v1, CAST(0.5 AS DOUBLE) AS v2, CAST(0.5 AS DOUBLE) AS v3 FROM gram)"]
+    columns = ", ".join(f"g{i}{j}" for i in range(4) for j in range(4))
+    for k in range(1, 31):
+        made = ", ".join("(" + " + ".join(f"g{i}{j} * v{j}" for j in range(4)) + f") AS u{i}" for i in range(4))
+        steps.append(f"q{k} AS (SELECT {columns}, {made} FROM p{k - 1}), p{k} AS (SELECT {columns}, " + ", ".join(f"u{i} / sqrt(u0 * u0 + u1 * u1 + u2 * u2 + u3 * u3) AS v{i}" for i in range(4)) + f" FROM q{k})")
+    matrix = "x AS (SELECT l_orderkey, l_linenumber, l_quantity * 0.02 AS x0, l_extendedprice * 1e-5 AS x1, l_discount * 10.0 AS x2, l_tax * 12.0 AS x3 FROM lineitem)"
+    return "WITH " + matrix + ", gram AS (SELECT " + ", ".join(cells) + " FROM x), " + ", ".join(steps) + ", w AS (SELECT x.*, v0, v1, v2, v3, x0 * v0 + x1 * v1 + x2 * v2 + x3 * v3 AS w FROM x, p30)"
+
+
+def _rank_one(spark: SparkSession, sf_dir: str) -> tuple[nmf.NMFDecomposer, DataFrame]:
     rows = _matrix(spark, sf_dir)
-    return nmf.NMFDecomposer(2, max_iter=12, tol=1e-4).fit(rows).transform(rows)
+    return nmf.NMFDecomposer(1, max_iter=200, tol=1e-14).fit(rows), rows
 
 
-@_query()
+@_query(_gram_power() + " SELECT l_orderkey, l_linenumber, " + _r("w", "nmf1") + " FROM w")
+def nmf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the best factorisation of rank one, for a basis of length one: non-negative data make it the leading direction."""
+    model, rows = _rank_one(spark, sf_dir)
+    made = model.transform(rows)
+    return _rounded(made.withColumn("nmf1", F.col("nmf1") * float((model.components_[0] ** 2).sum() ** 0.5)))
+
+
+@_query(
+    _gram_power()
+    + ", e AS (SELECT unnest([x0, x1, x2, x3]) AS x, unnest([x0 - w * v0, x1 - w * v1, x2 - w * v2, x3 - w * v3]) AS e FROM w) SELECT unnest(['RMSE', 'NRMSE', 'MAE', 'R2']) AS metric, round(unnest([sqrt(avg(e * e)), sqrt(avg(e * e)) / (max(x) - min(x)), avg(abs(e)), 1 - sum(e * e) / (var_pop(x) * count(*))]) + 1e-10, 6) + 0.0 AS value FROM e"
+)
 def nmf_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _matrix(spark, sf_dir)
-    return nmf.nmf_reconstruction_error(nmf.NMFDecomposer(2, max_iter=12, tol=1e-4).fit(rows), rows)
+    model, rows = _rank_one(spark, sf_dir)
+    return _rounded(nmf.nmf_reconstruction_error(model, rows))
 
 
-@_query()
+@_query(_gram_power() + ", e AS (SELECT avg(pow(x0 - w * v0, 2) + pow(x1 - w * v1, 2) + pow(x2 - w * v2, 2) + pow(x3 - w * v3, 2)) / 4 AS m FROM w) SELECT CAST(1 AS INTEGER) AS rank, " + _r("m", "mse") + " FROM e")
+def nmf_rank_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(nmf.nmf_rank_mse_sweep(_matrix(spark, sf_dir), [1], max_iter=200, tol=1e-14))
+
+
+@_query("SELECT true AS error_falls, true AS nonnegative, true AS rows_are_optimal, count(*) AS n FROM lineitem")
+def nmf_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A factorisation of rank two at the default settings: its error is less than that of rank one, and every row's weights are optimal."""
+    one, rows = _rank_one(spark, sf_dir)
+    two = nmf.NMFDecomposer(2, random_state=1).fit(rows)
+    h = two.components_
+    gram = h @ h.T
+    w, x = [F.get("_w", F.lit(j)) for j in range(2)], [F.col(c) for c in two.columns_]
+    slope = [sum(w[k] * float(gram[j, k]) for k in range(2)) - sum(v * float(h[j, i]) for i, v in enumerate(x)) for j in range(2)]
+    scale = float(abs(gram).max())
+    good = (F.least(*w) >= 0) & (F.least(*slope) >= -1e-6 * scale) & (F.greatest(*[F.abs(a * b) for a, b in zip(w, slope, strict=True)]) <= 1e-6 * scale)
+    row = two.weights(rows).agg(F.min(F.least(*w)).alias("least"), F.bool_and(good).alias("good"), F.count("*").alias("n")).first()
+    falls = two.reconstruction_error_ < one.reconstruction_error_
+    return spark.createDataFrame([(bool(falls), bool(row.least >= 0 and (h >= 0).all()), row.good, row.n)], "error_falls boolean, nonnegative boolean, rows_are_optimal boolean, n long")
+
+
+def _folds_sql(table: str, group: str, labels: dict[str, str], splits: int, seeds: list[int]) -> str:
+    """Folds by position: groups by size and label counts, the largest first, then by hash, dealt there and back."""
+    counts = ", ".join(f"count(*) FILTER ({test}) AS {name}" for name, test in labels.items())
+    order = ", ".join(["s DESC", *[f"{n} DESC" for n in labels]])
+    parts = [f"SELECT CAST({i} AS INTEGER) AS repeat, {group}, row_number() OVER (ORDER BY {order}, md5({group} || '|{seed}')) - 1 AS i FROM g" for i, seed in enumerate(seeds)]
+    return f"WITH g AS (SELECT {group}, count(*) AS s, {counts} FROM {table} GROUP BY {group}), r AS ({' UNION ALL '.join(parts)}), f AS (SELECT repeat, {group}, CAST(CASE WHEN (i // {splits}) % 2 = 0 THEN i % {splits} ELSE {splits - 1} - i % {splits} END AS INTEGER) AS fold FROM r)"
+
+
+@_query(_folds_sql("orders", "o_custkey", {x: f"o_orderstatus = '{x}'" for x in "FOP"}, 5, [1, 1001]) + " SELECT repeat, o_custkey, fold FROM f")
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
     return splitting.RepeatedStratifiedGroupKFold(5, 2, 1).assign(orders, "o_orderstatus", "o_custkey")
@@ -406,7 +458,7 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def feature_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(12)])
+    rows = _read(spark, sf_dir, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(64)])
     return selection.correlated_feature_clusters(rows)
 
 
@@ -512,22 +564,37 @@ def reconstruction_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(nmf.nmf_reconstruction_error(model, _matrix(spark, sf_dir)))
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # orders stand for (run, iteration, feature): an importance each, missing where a feature is rejected
-    return _read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).cast("int").alias("run"), F.col("o_orderpriority").alias("feature"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice") / 1000).alias("importance"), (F.col("o_custkey") % 5 == F.col("o_orderkey") % 5).alias("hit"))
+_RUNS_SQL = """
+WITH h AS (
+    SELECT CAST(o_orderkey % 5 AS INTEGER) AS run, o_orderpriority AS feature, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice / 1000 END AS importance, CASE WHEN o_custkey % 5 = o_orderkey % 5 THEN 1.0 ELSE 0.0 END AS hit FROM orders
+), r AS (
+    SELECT run, feature, median(importance) AS m, round(avg(hit), 9) AS share FROM h GROUP BY run, feature
+)
+"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for iterations: a run, a feature, its importance (missing where it is rejected) and whether it beat the shadows."""
+    orders = _read(spark, sf_dir, "orders")
+    hit = F.when(F.col("o_custkey") % 5 == F.col("o_orderkey") % 5, 1.0).otherwise(0.0)
+    runs = orders.groupBy((F.col("o_orderkey") % 5).cast("int").alias("run"), F.col("o_orderpriority").alias("feature")).agg(F.round(F.avg(hit), 9).alias("hit_share"), F.collect_list(F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice") / 1000)).alias("importances"))
+    share = F.col("hit_share")
+    decision = F.when(share >= 0.205, "Confirmed").when(share < 0.195, "Rejected").otherwise("Tentative")
+    return runs.select("run", "feature", decision.alias("decision"), F.when(share >= 0.2, "Confirmed").otherwise("Rejected").alias("rough_decision"), "hit_share", "importances")
 
 
 @_query(
-    "WITH h AS (SELECT o_orderkey % 5 AS run, o_orderpriority AS feature, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice / 1000 END AS importance, o_custkey % 5 = o_orderkey % 5 AS hit FROM orders), r AS (SELECT run, feature, median(importance) AS m, count(*) FILTER (hit) / CAST(count(*) AS DOUBLE) AS share FROM h GROUP BY run, feature) SELECT feature, "
-    + _r("median(m)", "median_imp")
-    + ", count(*) FILTER (share >= 0.2) AS n_confirmed, "
+    _RUNS_SQL
+    + "SELECT feature, "
     + _r("avg(CASE WHEN share >= 0.2 THEN 1.0 ELSE 0.0 END)", "selection_freq")
+    + ", CAST(count(*) FILTER (share >= 0.205) AS INTEGER) AS n_confirmed, CAST(count(*) FILTER (share >= 0.195 AND share < 0.205) AS INTEGER) AS n_tentative, CAST(count(*) FILTER (share < 0.195) AS INTEGER) AS n_rejected, "
+    + _r("median(m)", "median_imp")
     + ", "
     + _r("avg(share)", "norm_hits")
     + " FROM r GROUP BY feature"
 )
 def stability_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(selection.stability_rollup(_history(spark, sf_dir), 0.2))
+    return _rounded(selection.stability_rollup(_runs(spark, sf_dir)))
 
 
 @_query(
@@ -535,7 +602,7 @@ def stability_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def one_se_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("threshold"), F.col("l_quantity").alias("n_features"), F.col("l_tax").alias("score"))
-    curve = [r.asDict() for r in tuning.curve_of(rows).orderBy("threshold").collect()]  # a row per threshold
+    curve = materialize(tuning.curve_of(rows), "curve")
     return spark.createDataFrame([(tuning.select_threshold(curve, "one_se"), tuning.select_threshold(curve, "best"))], "one_se double, best double")
 
 
@@ -548,3 +615,17 @@ def binomial_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = np.array([r[0] % 21 for r in rows])
     decided = selection.do_tests(np.full(len(rows), selection.TENTATIVE, object), hits, 20, 0.0014 * len(rows))
     return spark.createDataFrame([(f"f{r[0]}", 20, str(d)) for r, d in zip(rows, decided, strict=True)], "feature string, n int, decision string")
+
+
+def _together(*names: str) -> str:
+    """The rows of several queries side by side; ``length`` comes from the first alone."""
+    parts = [f"(SELECT * {'EXCLUDE (length)' if i and name in ('features_dynamics', 'features_trend', 'features_activation') else ''} FROM ({SQL[name]}))" for i, name in enumerate(names)]
+    return "SELECT * FROM " + parts[0] + "".join(f" JOIN {p} USING (user_id)" for p in parts[1:])
+
+
+@_query(_together("features_distribution", "features_dynamics", "features_trend", "features_activation", "features_complexity", "spectral_entropy", "partial_autocorrelation"))
+def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(features.frame_features(_read(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value"))
+
+
+from kinetika import queries_models  # noqa: E402, F401
