@@ -157,6 +157,38 @@ def evaluate_models(models: dict, df: DataFrame, label_col: str, positive_label=
     return out
 
 
+def seed_averaged(models: list, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``key``, ``columns`` and ``positive_probability``: the mean over fitted models, as one seed alone says little.
+
+    Rows that repeat a key count as one.
+    """
+    made = None
+    for model in models:
+        part = with_probability(model, df).select(key, *columns, "positive_probability")
+        made = part if made is None else made.unionByName(part)
+    return made.groupBy(key, *columns).agg(F.avg("positive_probability").alias("positive_probability"))
+
+
+def compare_feature_sets(sets: dict[str, list[str]], make_model, train: DataFrame, test: DataFrame, label_col: str, key: str, positive_label=None, n_seeds: int = 5) -> DataFrame:
+    """set_a, set_b, auc_a, auc_b, difference, z and p_value of DeLong's paired test for every two sets of features.
+
+    ``make_model(seed)`` gives an unfitted model; for each set ``n_seeds`` of them are fitted and their probabilities averaged.
+    """
+    if len(sets) < 2:
+        raise ValueError("two sets of features are needed at least")
+    wide = None
+    for i, features in enumerate(sets.values()):
+        fitted = [make_model(seed).fit(train, features, label_col, positive_label) for seed in range(n_seeds)]
+        part = seed_averaged(fitted, test, key, [label_col]).withColumnRenamed("positive_probability", f"_set{i}")
+        wide = part if wide is None else wide.join(part.drop(label_col), key)
+    wide, names, rows = materialize(wide, "feature-sets"), list(sets), []
+    for i in range(len(names)):
+        for j in range(i + 1, len(names)):
+            found = delong_roc_test(wide, label_col, f"_set{i}", f"_set{j}", positive_label)
+            rows.append((names[i], names[j], *(float(found[k]) for k in ("auc_a", "auc_b", "difference", "z", "p_value"))))
+    return train.sparkSession.createDataFrame(rows, "set_a string, set_b string, auc_a double, auc_b double, difference double, z double, p_value double")
+
+
 def score_fold(model, train: DataFrame, test: DataFrame, features: list[str], label_col: str, scoring: str, positive_label) -> float:
     fitted = model.fit(train, features, label_col, positive_label)
     if scoring == "roc_auc":

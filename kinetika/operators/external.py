@@ -139,8 +139,10 @@ class RFeatureExtractor:
             from rpy2 import robjects
             from rpy2.robjects.packages import importr
 
-            vector = robjects.FloatVector(x.ravel())
-            made = getattr(importr(package), function)(vector if per_row else robjects.r.matrix(vector, nrow=x.shape[0], byrow=True), **options)
+            vector, home = robjects.FloatVector(x.ravel()), importr(package)
+            if not hasattr(home, function):
+                raise AttributeError(f"the R package {package!r} has no function {function!r}")
+            made = getattr(home, function)(vector if per_row else robjects.r.matrix(vector, nrow=x.shape[0], byrow=True), **options)
             if per_row:
                 return list(made.names), list(made)
             return {n: list(v) for n, v in zip(made.names, made, strict=True)}

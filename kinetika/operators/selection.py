@@ -23,12 +23,12 @@ MOST_VALUES = 20_000_000
 TENTATIVE, CONFIRMED, REJECTED = "Tentative", "Confirmed", "Rejected"
 
 
-def oob_permutation_importance(x, y, n_estimators: int = 500, max_features: str | int = "sqrt", random_state: int = 0) -> np.ndarray:
-    return forest.importance(x, y, n_estimators, None if max_features == "sqrt" else int(max_features), random_state)
+def oob_permutation_importance(x, y, n_estimators: int = 500, max_features: str | int = "sqrt", random_state: int = 0, max_samples: int | float | None = None) -> np.ndarray:
+    return forest.importance(x, y, n_estimators, None if max_features == "sqrt" else int(max_features), random_state, "permutation", max_samples)
 
 
-def gini_importance(x, y, n_estimators: int = 500, max_features: str | int = "sqrt", random_state: int = 0) -> np.ndarray:
-    return forest.importance(x, y, n_estimators, None if max_features == "sqrt" else int(max_features), random_state, "gini")
+def gini_importance(x, y, n_estimators: int = 500, max_features: str | int = "sqrt", random_state: int = 0, max_samples: int | float | None = None) -> np.ndarray:
+    return forest.importance(x, y, n_estimators, None if max_features == "sqrt" else int(max_features), random_state, "gini", max_samples)
 
 
 #: Importances are held against so many shadows at least.
@@ -55,6 +55,11 @@ class BorutaRun:
         final = dict(zip(self.names, self.rough_decisions if rough_fixed else self.decisions, strict=True))
         return [name for name in self.names if final[name] == CONFIRMED]
 
+    @property
+    def shadow_max(self) -> np.ndarray:
+        """The greatest shadow of every iteration."""
+        return self.shadows[:, -1]
+
     def rows(self, run: int) -> list[tuple]:
         """One row per feature: run, feature, decision, rough_decision, share of hits and its finite importances."""
         share = self.hits / max(len(self.history), 1)

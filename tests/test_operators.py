@@ -501,6 +501,47 @@ def test_density_against_sums(spark):
         assert r.density == pytest.approx(np.exp(-(((r.x - x) / width) ** 2) / 2).sum() / (len(x) * width * math.sqrt(2 * math.pi)), rel=2e-3)
 
 
+def test_command_line_jobs(spark, tmp_path):
+    import json
+
+    from kinetika import tools
+
+    rng = np.random.default_rng(9)
+    rows = [(i, i // 2, int(i % 2), float(i % 2 + rng.normal() * 0.3), float(rng.normal())) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id int, pair int, y int, good double, noise double")
+    for name, part in (("train", frame.filter("id < 40")), ("test", frame.filter("id >= 40"))):
+        part.write.parquet(str(tmp_path / name))
+    common = ["--train", str(tmp_path / "train"), "--test", str(tmp_path / "test"), "--label", "y", "--key", "id", "--fast"]
+    found = tools.main(["tune", *common, "--group", "pair", "--n-splits", "2", "--n-repeats", "1", "--out", str(tmp_path / "tune.json")], spark)
+    assert "good" in found["features"] and found["held_out"][0]["roc_auc"] > 0.7 and json.loads((tmp_path / "tune.json").read_text())["threshold"] == found["threshold"]
+    found = tools.main(["ranks", *common, "--top", "1", "--n-seeds", "2", "--out", str(tmp_path / "ranks.json")], spark)
+    assert found["top"][0]["feature"] == "good" and found["sets"]["top"] == ["good"] and all(0 <= r["p_value"] <= 1 for r in found["compared"])
+    with pytest.raises(SystemExit):
+        tools.main(["tune", "--train", "x"], spark)
+
+
+def test_probabilities_are_averaged_over_seeds(labelled):
+    class Fixed:
+        def __init__(self, p):
+            self.p = p
+
+        def transform(self, df):
+            return df.withColumn("positive_probability", F.lit(self.p) * F.col("f0"))
+
+    got = {r.video: r.positive_probability for r in evaluation.seed_averaged([Fixed(1.0), Fixed(3.0)], labelled, "video", ["y"]).collect()}
+    assert got == {r.video: pytest.approx(2 * r.f0) for r in labelled.collect()}
+    with pytest.raises(ValueError):
+        evaluation.compare_feature_sets({"a": ["f0"]}, None, labelled, labelled, "y", "video")
+
+
+def test_bootstrap_sizes():
+    from kinetika.functions import forest
+
+    assert [forest.draws(10, s) for s in (None, 4, 0.25, 0.01, 1.0)] == [10, 4, 2, 1, 10]
+    x = np.c_[np.arange(40) % 2, np.zeros(40)]
+    assert K.gini_importance(x, np.arange(40) % 2, 10, max_samples=0.5).tolist() == [1.0, 0.0]
+
+
 def test_matrix_extractors(spark):
     from kinetika.operators import external
 
