@@ -9,7 +9,7 @@ the item's shingles in the whole document.
 Defined results: an item or document of fewer than five words is one shingle of all its words; one without words, or null, has no
 shingles and matches nothing; every row of both tables is matched by itself, so repeated rows give repeated results; a text of any
 length is searched whole; empty tables give none; other input columns are ignored (kept by ``decontaminate``), whatever their names. Test items
-are taken in blocks of a fixed number and a fixed number of bytes, each block against all documents, so what is broadcast has a bound.
+are taken in blocks of a fixed number and a fixed number of bytes, four blocks to a scan of all documents, so what is broadcast has a bound.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ HASHES = 64
 SEED = 5
 ITEMS_PER_BLOCK = 50_000
 BYTES_PER_BLOCK = 32 << 20
+#: Blocks that one scan of the documents is held against; what a worker keeps of them has this bound.
+BLOCKS_PER_SCAN = 4
 _FILTER_BITS = 18
 
 
@@ -98,9 +100,8 @@ def _candidates(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex, functi
     return out
 
 
-def _verified(texts: pa.Array, index: ItemIndex, functions: tuple[np.ndarray, np.ndarray], threshold: float) -> Iterator[tuple[int, int, int]]:
+def _verified(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex, functions: tuple[np.ndarray, np.ndarray], threshold: float) -> Iterator[tuple[int, int, int]]:
     """(text, item, shared shingles) of all items that a text contains to ``threshold`` or more."""
-    hashes, bounds = ta.shingles(texts)
     sorted_text: dict[int, np.ndarray] = {}
     for at, item in sorted(_candidates(hashes, bounds, index, functions)):
         if at not in sorted_text:
@@ -111,14 +112,18 @@ def _verified(texts: pa.Array, index: ItemIndex, functions: tuple[np.ndarray, np
             yield at, item, shared
 
 
-def _indexes(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, items_per_block: int) -> Iterator[object]:
-    """Broadcast indexes of the test items, block by block; one at least."""
+def _indexes(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, items_per_block: int) -> Iterator[list]:
+    """Broadcast indexes of the test items, ``BLOCKS_PER_SCAN`` blocks at a time; one at least."""
     wanted = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
     size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
     blocks = max(1, -(-size.n // items_per_block), -(-size.bytes // BYTES_PER_BLOCK))
+    held: list = []
     for i in range(blocks):
         taken = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()  # about BYTES_PER_BLOCK at most
-        yield docs.sparkSession.sparkContext.broadcast(ItemIndex([r.item_id for r in taken], [r.text for r in taken]))
+        held.append(docs.sparkSession.sparkContext.broadcast(ItemIndex([r.item_id for r in taken], [r.text for r in taken])))
+        if len(held) == BLOCKS_PER_SCAN or i + 1 == blocks:
+            yield held
+            held = []
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
@@ -129,37 +134,41 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, shared int, item_shingles int, containment double"
 
-    def scan(index_of: object):
+    def scan(indexes: list):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, functions = index_of.value, ta.permutations(HASHES, SEED)
+            functions = ta.permutations(HASHES, SEED)
             for batch in batches:
                 found: list[tuple] = []
                 for part in ta.slices(batch):
-                    for at, item, shared in _verified(part.column("text"), index, functions, threshold):
-                        size = len(index.sets[item])
-                        found.append((part.column("doc_id")[at].as_py(), index.ids[item], shared, size, shared / size))
+                    hashes, bounds = ta.shingles(part.column("text"))
+                    for index in (held.value for held in indexes):
+                        for at, item, shared in _verified(hashes, bounds, index, functions, threshold):
+                            size = len(index.sets[item])
+                            found.append((part.column("doc_id")[at].as_py(), index.ids[item], shared, size, shared / size))
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], schema.replace(",", "").split()[::2])
 
         return run
 
-    found = reduce(DataFrame.unionAll, [rows.mapInArrow(scan(index), schema) for index in _indexes(docs, items, item_key, item_text, items_per_block)])
+    found = reduce(DataFrame.unionAll, [rows.mapInArrow(scan(indexes), schema) for indexes in _indexes(docs, items, item_key, item_text, items_per_block)])
     return found.withColumnRenamed("item_id", item_key).withColumnRenamed("doc_id", key)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """``docs`` without the rows whose text contains a test item. Rows go by their own text, whatever other rows share their key."""
 
-    def clean(index_of: object):
+    def clean(indexes: list):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, functions = index_of.value, ta.permutations(HASHES, SEED)
+            functions = ta.permutations(HASHES, SEED)
             for batch in batches:
                 for part in ta.slices(batch, text):
+                    hashes, bounds = ta.shingles(part.column(text))
                     keep = np.ones(part.num_rows, bool)
-                    keep[[at for at, _, _ in _verified(part.column(text), index, functions, threshold)]] = False
+                    for held in indexes:
+                        keep[[at for at, _, _ in _verified(hashes, bounds, held.value, functions, threshold)]] = False
                     yield part.filter(pa.array(keep))
 
         return run
 
-    for index in _indexes(docs, items, "item_id", "text", items_per_block):
-        docs = docs.mapInArrow(clean(index), docs.schema)
+    for indexes in _indexes(docs, items, "item_id", "text", items_per_block):
+        docs = docs.mapInArrow(clean(indexes), docs.schema)
     return docs
