@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,18 +62,35 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 #: Shuffle files are removed when their query has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing = threading.Lock()
+_writers: dict[str, tuple[int, str]] = {}
+
+
+@contextmanager
+def _shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with their query while any write of ``materialize`` runs; then the setting is as it was."""
+    application = spark.sparkContext.applicationId
+    with _writing:
+        count, before = _writers.get(application, (0, spark.conf.get(_CLEANUP, "false")))
+        _writers[application] = (count + 1, before)
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _writing:
+            count, before = _writers.pop(application)
+            if count > 1:
+                _writers[application] = (count - 1, before)
+            else:
+                spark.conf.set(_CLEANUP, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table: it cuts the lineage, and later
     reads survive a lost executor. The shuffle files of the write go with it."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _shuffle_cleanup(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

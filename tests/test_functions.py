@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetika.functions import forest, stats
 from kinetika.functions import series as S
@@ -9,7 +10,6 @@ from kinetika.functions.labels import au_code, au_label, extract_au_code, humani
 
 
 def test_au_labels(spark):
-    from pyspark.sql import functions as F
 
     assert extract_au_code("smth_au12_r") == "AU12" and extract_au_code("x") is None
     assert humanise_au_label("AU12_r") == "AU12 - Lip Corner Puller" and humanise_au_label("AU99_r") == "AU99_r"
@@ -22,7 +22,6 @@ def test_au_labels(spark):
 
 
 def test_pair_key(spark):
-    from pyspark.sql import functions as F
 
     rows = spark.createDataFrame([("20__exit_room", "real"), ("20_21__exit_room__HASH", "fake"), ("plain", "fake")], "n string, l string")
     assert [r[0] for r in rows.select(pair_key(F.col("n"), F.col("l"))).collect()] == ["20__exit_room", "20__exit_room", "plain"]
@@ -74,3 +73,35 @@ def test_forest_finds_the_informative_column(kind):
     x = np.random.default_rng(0).normal(size=(120, 4))
     found = forest.importance(x, x[:, 2] > 0, trees=40, seed=1, kind=kind)
     assert found.argmax() == 2 and (found == forest.importance(x, x[:, 2] > 0, trees=40, seed=1, kind=kind)).all()
+
+
+def test_written_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from kinetika import session
+
+    before = spark.conf.get(session._CLEANUP, "false")
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda i: session.materialize(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), f"t{i}"), range(8)))
+    assert spark.conf.get(session._CLEANUP, "false") == before and not session._writers and all(t.count() == 7 for t in made)
+    files = made[0].inputFiles()
+    session.discard(made[0])
+    import os
+
+    assert files and not os.path.exists(files[0].removeprefix("file://")) and made[1].count() == 7
+    assert session.unused(spark.createDataFrame([(1, 2)], "_id int, __ID int"), "id", "hash", "id") == ["___id", "_hash", "____id"]
+
+
+def test_only_a_local_master_has_a_folder_of_its_own(spark, monkeypatch):
+    from kinetika import session
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "other"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Cluster)
+    assert session.shared_folder(spark)
