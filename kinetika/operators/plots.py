@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kinetika.functions import stats
 from kinetika.functions.labels import humanise_au_label
 from kinetika.operators import evaluation, faces
+from kinetika.operators.classifiers import CLASSIFIER_LABELS, CLASSIFIER_NAMES
 from kinetika.operators.cleaning import feature_diagnostics
 from kinetika.operators.nmf import NMFDecomposer, nmf_reconstruction_r2_per_au
 from kinetika.operators.selection import BorutaSelector, abs_correlations, boruta_feature_stats
@@ -111,43 +112,87 @@ def decision_boundary_data(model, df: DataFrame, x: str, y: str, points: int = 2
     return model.transform(grid.select(x, y, *rest)).select(x, y, "positive_probability")
 
 
-def _draw(frame, kind: str, title: str, save_path: str | None, output_dir: str | None, dpi: int, **options):
+#: Colours of drawn series, in order; models keep theirs in every plot.
+COLOURS = ["tab:blue", "tab:orange", "tab:green", "tab:red", "tab:purple", "tab:brown", "tab:pink", "tab:gray"]
+
+
+def model_colour(name: str) -> str:
+    """The same colour for a classifier wherever it is drawn; others by their name."""
+    return COLOURS[CLASSIFIER_NAMES.index(name) if name in CLASSIFIER_NAMES else sum(map(ord, name)) % len(COLOURS)]
+
+
+def model_label(name: str) -> str:
+    return CLASSIFIER_LABELS.get(name, name)
+
+
+def _draw(frame, kind: str, title: str, save_path: str | None, output_dir: str | None, dpi: int, x: str, y: list[str], error: str | None = None, colours: list[str] | None = None):
+    """Columns ``y`` of a pandas frame against ``x``, as lines, bars, lying bars, areas or points."""
+    figure, axes = _axes()
+    places = frame[x].tolist()
+    for i, c in enumerate(y):
+        values, colour = frame[c].tolist(), (colours or COLOURS)[i % len(colours or COLOURS)]
+        if kind == "line":
+            axes.plot(places, values, label=c, color=colour)
+            if error:
+                spread = [0.0 if v is None or v != v else v for v in frame[error].tolist()]
+                axes.fill_between(places, [a - b for a, b in zip(values, spread, strict=True)], [a + b for a, b in zip(values, spread, strict=True)], color=colour, alpha=0.2)
+        elif kind == "area":
+            axes.fill_between(places, values, label=c, color=colour, alpha=0.5)
+        elif kind == "barh":
+            axes.barh([f"{p}" for p in places] if len(y) == 1 else [n + 0.8 * i / len(y) for n in range(len(places))], values, height=0.8 / len(y), label=c, color=colours if colours and len(y) == 1 else colour)
+        elif kind == "bar":
+            axes.bar(places, values, label=c, color=colours if colours and len(y) == 1 else colour)
+        else:
+            axes.scatter(places, frame[y[0]].tolist(), c=frame[y[1]].tolist())
+            break
+    if kind == "barh" and len(y) > 1:
+        axes.set_yticks([n + 0.4 for n in range(len(places))], places)
+    axes.set_title(title)
+    axes.set_xlabel(x)
+    if len(y) > 1 and kind != "scatter":
+        axes.legend()
+    save_figure(figure, save_path, output_dir, dpi)
+    return figure, axes
+
+
+def _image(table, title: str, save_path: str | None, output_dir: str | None, dpi: int, rows: list, columns: list, **options):
     figure, axes = _axes()
-    frame.plot(kind=kind, ax=axes, **options)
+    axes.imshow(table, aspect="auto", **options)
+    axes.set_xticks(range(len(columns)), columns)
+    axes.set_yticks(range(len(rows)), rows)
     axes.set_title(title)
     save_figure(figure, save_path, output_dir, dpi)
     return figure, axes
 
 
 def plot_smoothing_comparison(df, video, column, layout: str = "stacked", save_path=None, output_dir=None, dpi=300, **names):
+    """Raw and smoothed values of one series: over each other, or ``stacked`` with each in a half of its own."""
     if layout not in ("stacked", "overlay"):
         raise ValueError("layout must be 'stacked' or 'overlay'")
-    return _draw(smoothing_comparison_data(df, video, column, **names).toPandas(), "line", video, save_path, output_dir, dpi, x=names.get("frame_col", "frame"), subplots=layout == "stacked")
+    rows = smoothing_comparison_data(df, video, column, **names).toPandas()
+    if layout == "stacked":
+        rows["raw"] = rows["raw"] + (rows["smoothed"].max() - rows["raw"].min())
+    return _draw(rows, "line", str(video), save_path, output_dir, dpi, names.get("frame_col", "frame"), ["raw", "smoothed"])
 
 
 def plot_nmf_rank_cv(sweep, save_path=None, output_dir=None, dpi=300):
-    return _draw(nmf_rank_cv_data(sweep).toPandas(), "line", "Held-out error by rank", save_path, output_dir, dpi, x="rank", y=["median_mse", "mean_mse"])
+    return _draw(nmf_rank_cv_data(sweep).toPandas(), "line", "Held-out error by rank", save_path, output_dir, dpi, "rank", ["median_mse", "mean_mse"])
 
 
 def plot_nmf_cophenetic_correlation(table, save_path=None, output_dir=None, dpi=300):
-    return _draw(table.orderBy("rank").toPandas(), "line", "Cophenetic correlation by rank", save_path, output_dir, dpi, x="rank", y="cophenetic")
+    return _draw(table.orderBy("rank").toPandas(), "line", "Cophenetic correlation by rank", save_path, output_dir, dpi, "rank", ["cophenetic"])
 
 
 def plot_nmf_basis_heatmap(spark, decomposer, save_path=None, output_dir=None, dpi=300):
     table = nmf_basis_data(spark, decomposer).toPandas().pivot(index="label", columns="component", values="weight")
-    figure, axes = _axes()
-    axes.imshow(table.to_numpy(), aspect="auto")
-    axes.set_xticks(range(table.shape[1]), table.columns)
-    axes.set_yticks(range(len(table)), table.index)
-    save_figure(figure, save_path, output_dir, dpi)
-    return figure, axes
+    return _image(table.to_numpy(), "Weights by component", save_path, output_dir, dpi, list(table.index), list(table.columns))
 
 
 def plot_nmf_face_maps(spark, decomposer, model=None, units=None, save_path=None, output_dir=None, dpi=300):
     """A face for each component, its muscles shaded by weight; without a face ``model``, a bar per action unit and component."""
     if model is None:
         table = nmf_basis_data(spark, decomposer).toPandas().pivot(index="label", columns="component", values="weight")
-        return _draw(table, "barh", "Muscle weights by component", save_path, output_dir, dpi)
+        return _draw(table.reset_index(), "barh", "Muscle weights by component", save_path, output_dir, dpi, "label", list(table.columns))
     rows = faces.face_map_data(spark, decomposer, model, units).collect()
     figure, axes = _axes()
     for r in rows:
@@ -162,44 +207,53 @@ def plot_nmf_face_maps(spark, decomposer, model=None, units=None, save_path=None
     return figure, axes
 
 
-def plot_nmf_reconstruction(decomposer, df, video, column, save_path=None, output_dir=None, dpi=300):
-    return _draw(nmf_reconstruction_data(decomposer, df, video, column).toPandas(), "line", f"{video}: {column}", save_path, output_dir, dpi, x="frame")
+def plot_nmf_reconstruction(decomposer, df, video, column, save_path=None, output_dir=None, dpi=300, group_col="video_filename", frame_col="frame"):
+    rows = nmf_reconstruction_data(decomposer, df, video, column, group_col, frame_col).toPandas()
+    return _draw(rows, "line", f"{video}: {column}", save_path, output_dir, dpi, frame_col, ["original", "reconstructed"])
 
 
-def plot_nmf_reconstruction_extremes(decomposer, df, video, save_path=None, output_dir=None, dpi=300):
-    best, _ = nmf_reconstruction_extremes_data(decomposer, df)
-    return plot_nmf_reconstruction(decomposer, df, video, best, save_path, output_dir, dpi)
+def plot_nmf_reconstruction_extremes(decomposer, df, video, save_path=None, output_dir=None, dpi=300, group_col="video_filename", frame_col="frame"):
+    """The columns that are reconstructed best and worst, in one plot."""
+    best, worst = nmf_reconstruction_extremes_data(decomposer, df)
+    rows = None
+    for c in dict.fromkeys((best, worst)):
+        part = nmf_reconstruction_data(decomposer, df, video, c, group_col, frame_col).toPandas().rename(columns={"original": c, "reconstructed": f"{c} reconstructed"})
+        rows = part if rows is None else rows.merge(part, on=frame_col)
+    return _draw(rows, "line", f"{video}: best and worst", save_path, output_dir, dpi, frame_col, [c for c in rows.columns if c != frame_col])
 
 
 def plot_nmf_reconstruction_r2_bar(decomposer, df, save_path=None, output_dir=None, dpi=300):
-    return _draw(nmf_reconstruction_r2_per_au(decomposer, df).toPandas(), "barh", "R2 by column", save_path, output_dir, dpi, x="au", y="r2")
+    return _draw(nmf_reconstruction_r2_per_au(decomposer, df).toPandas(), "barh", "Share of variance reconstructed", save_path, output_dir, dpi, "au", ["r2"])
 
 
 def plot_feature_diagnostics(df, save_path=None, output_dir=None, dpi=300):
-    return _draw(feature_diagnostics(df).toPandas(), "barh", "Missing and infinite shares", save_path, output_dir, dpi, x="feature", y=["pct_nan", "pct_inf"])
+    return _draw(feature_diagnostics(df).toPandas(), "barh", "Share of missing values", save_path, output_dir, dpi, "feature", ["pct_nan", "pct_inf"])
 
 
 def plot_boruta_importance(spark, selector, run=0, max_features=None, save_path=None, output_dir=None, dpi=300):
-    return _draw(boruta_importance_data(spark, selector, run, max_features).toPandas(), "barh", "Importance", save_path, output_dir, dpi, x="feature", y="medianImp")
+    rows = boruta_importance_data(spark, selector, run, max_features).toPandas()
+    colours = ["tab:green" if d == "Confirmed" else "tab:red" if d == "Rejected" else "tab:orange" for d in rows["decision"]]
+    return _draw(rows, "barh", "Importance", save_path, output_dir, dpi, "feature", ["medianImp"], colours=colours)
 
 
 def plot_boruta_stability(selector, max_features=None, save_path=None, output_dir=None, dpi=300):
-    return _draw(boruta_stability_data(selector, max_features).toPandas(), "barh", "Selection frequency", save_path, output_dir, dpi, x="feature", y="selection_freq")
+    return _draw(boruta_stability_data(selector, max_features).toPandas(), "barh", "Selection frequency", save_path, output_dir, dpi, "feature", ["selection_freq"])
 
 
 def plot_feature_clusters(df, columns, save_path=None, output_dir=None, dpi=300):
-    table = feature_cluster_data(df, columns).toPandas().pivot(index="position", columns="other", values="abs_corr")
-    figure, axes = _axes()
-    axes.imshow(table.to_numpy(), vmin=0, vmax=1)
-    save_figure(figure, save_path, output_dir, dpi)
-    return figure, axes
+    rows = feature_cluster_data(df, columns).toPandas()
+    order = rows.drop_duplicates("position").sort_values("position")["feature"].tolist()
+    table = rows.pivot(index="feature", columns="other", values="abs_corr").loc[order, order]
+    return _image(table.to_numpy(), "Correlated features", save_path, output_dir, dpi, order, order, vmin=0, vmax=1)
 
 
 def plot_roc_curves(df, truth, scores, positive_label=None, save_path=None, output_dir=None, dpi=300):
+    """ROC curves of score columns; a column named like a classifier is drawn in its colour and by its label."""
     figure, axes = _axes(6, 6)
     for s in scores:
         points = evaluation.roc_points(df, truth, s, positive_label).orderBy("fpr", "tpr").toPandas()
-        axes.plot([0, *points.fpr], [0, *points.tpr], label=s)
+        axes.plot([0, *points.fpr], [0, *points.tpr], label=model_label(s), color=model_colour(s))
+    axes.plot([0, 1], [0, 1], color="gray", linestyle=":")
     axes.legend()
     save_figure(figure, save_path, output_dir, dpi)
     return figure, axes
@@ -207,24 +261,27 @@ def plot_roc_curves(df, truth, scores, positive_label=None, save_path=None, outp
 
 def plot_confusion_matrix(df, truth, prediction, save_path=None, output_dir=None, dpi=300):
     table = evaluation.confusion_matrix_frame(df, truth, prediction).toPandas().set_index("prediction")
-    figure, axes = _axes(5, 5)
-    axes.imshow(table.to_numpy())
-    save_figure(figure, save_path, output_dir, dpi)
-    return figure, axes
+    return _image(table.to_numpy(), "Predicted by true label", save_path, output_dir, dpi, list(table.index), list(table.columns))
 
 
-def plot_probability_distributions(df, label_col, score="positive_probability", save_path=None, output_dir=None, dpi=300):
-    table = probability_distribution_data(df, label_col, score, 64).toPandas().pivot(index="x", columns="label", values="density").fillna(0)
-    return _draw(table, "area", "Probability by label", save_path, output_dir, dpi, alpha=0.5, stacked=False)
+def plot_probability_distributions(df, label_col, score="positive_probability", threshold=0.5, save_path=None, output_dir=None, dpi=300):
+    table = probability_distribution_data(df, label_col, score).toPandas().pivot(index="x", columns="label", values="density").fillna(0)
+    table.columns = [str(c) for c in table.columns]
+    figure, axes = _draw(table.reset_index(), "area", "Probability by label", None, None, dpi, "x", list(table.columns))
+    axes.axvline(threshold, linestyle=":", color="black")
+    save_figure(figure, save_path, output_dir, dpi)
+    return figure, axes
 
 
 def plot_decision_boundary(model, df, x, y, save_path=None, output_dir=None, dpi=300):
-    return _draw(decision_boundary_data(model, df, x, y).toPandas(), "scatter", "Decision boundary", save_path, output_dir, dpi, x=x, y=y, c="positive_probability")
+    return _draw(decision_boundary_data(model, df, x, y).toPandas(), "scatter", "Decision boundary", save_path, output_dir, dpi, x, [y, "positive_probability"])
 
 
 def plot_accuracy_comparison(table, save_path=None, output_dir=None, dpi=300):
-    return _draw(table.toPandas(), "bar", "Accuracy", save_path, output_dir, dpi, x="model", y="accuracy")
+    rows = table.toPandas()
+    colours, rows["model"] = [model_colour(m) for m in rows["model"]], [model_label(m) for m in rows["model"]]
+    return _draw(rows, "bar", "Accuracy", save_path, output_dir, dpi, "model", ["accuracy"], colours=colours)
 
 
 def plot_threshold_sweep(result, save_path=None, output_dir=None, dpi=300):
-    return _draw(result.curve.orderBy("threshold").toPandas(), "line", "Score by threshold", save_path, output_dir, dpi, x="threshold", y="score_mean", yerr="score_se")
+    return _draw(result.curve.orderBy("threshold").toPandas(), "line", "Score by threshold", save_path, output_dir, dpi, "threshold", ["score_mean"], error="score_se")
