@@ -46,8 +46,8 @@ FILTER_BITS = 1 << 25
 _MAP_BITS = 32_768
 
 
-def split_by_bits(left: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``left`` in two: the rows whose ``columns`` may be among ``keys``, and those that certainly aren't.
+def split_by_bits(left: DataFrame, keys: DataFrame, columns: list[str], never: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``left`` in two: the rows whose ``columns`` may be among ``keys``, and those that certainly aren't, with all that are ``never``.
 
     Hashes of the keys set bits in a table of ``FILTER_BITS``, which is broadcast, so rows that match nothing needn't be shuffled to find
     that out. With more keys more rows pass, and none that matches is ever in the second part.
@@ -58,8 +58,9 @@ def split_by_bits(left: DataFrame, keys: DataFrame, columns: list[str]) -> tuple
     joined = left.withColumn(flag, place.cast("int")).withColumn(number, F.floor(F.col(flag) / _MAP_BITS).cast("int")).join(F.broadcast(maps), number, "left")
     at = F.col(flag) % _MAP_BITS
     byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.col(bits).isNotNull() & (F.call_function("getbit", byte, at % 8) == 1)
-    return tuple(joined.filter(side).select(*left.columns) for side in (F.coalesce(hit, F.lit(False)), ~F.coalesce(hit, F.lit(False))))
+    hit = F.coalesce(F.col(bits).isNotNull() & (F.call_function("getbit", byte, at % 8) == 1), F.lit(False))
+    hit = hit if never is None else hit & ~never
+    return joined.filter(hit).select(*left.columns), joined.filter(~hit).select(*left.columns)
 
 
 #: At most so many ranges, so what the driver samples for their bounds has a limit too.

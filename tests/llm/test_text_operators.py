@@ -766,7 +766,9 @@ def brute_lines(rows):
     return {k: (None, 0) if t is None else ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]), len(gone[k])) for k, t in rows}
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("most", [32 << 20, 0])
+def test_line_dedup(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", most)  # 0: texts are shuffled to meet what they lose
     rng = random.Random(8)
     rows = [(i, "\n".join(rng.choice("abcd") * rng.randint(1, 2) for _ in range(rng.randint(0, 9)))) for i in range(200)]
     rows += [(300, None), (301, ""), (302, "a\na\na\na\na"), (303, "x\ny"), (304, "\n\n\n\n")]
@@ -786,6 +788,18 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_leaves_texts_where_they_lie(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a\nb\nc" if i % 9 == 0 else prose(i, 9)) for i in range(100)], DOCS)
+
+    def shuffled(df):
+        return len(re.findall(r"(?<!Broadcast)Exchange (?:hash|range|Round|Single)", df._jdf.queryExecution().executedPlan().toString()))
+
+    assert shuffled(line_dedup.dedup_lines(docs)) == 0
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    out = line_dedup.dedup_lines(docs)
+    assert out.filter("removed_lines > 0").count() == 11 and out.count() == 100
+
+
 # --- 9: secrets -----------------------------------------------------------------------------------------------------------------------------
 
 
@@ -797,7 +811,7 @@ def brute_spans(t):
     return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
 
 
-def plain_docs(n=500, first=100_000):
+def plain_docs(n=1200, first=100_000):
     """Ordinary text, which the scan holds tokens against."""
     return [(first + i, prose(3 * i, 120).capitalize() + f". In {1900 + i} all was well.") for i in range(n)]
 
