@@ -12,17 +12,31 @@ from kinetika.session import unused
 HOT_PART = 1 / 1000
 
 
-def hot_join(left: DataFrame, per_key: DataFrame, key: str, how: str = "inner", rows: str = "key_rows") -> DataFrame:
+#: Narrow tables of up to so many rows are broadcast, some 50 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join ``left`` with a written table of a few fixed-size columns: by broadcast while it has few rows, by shuffle beyond."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+
+
+def hot_join(left: DataFrame, per_key: DataFrame, key: str, how: str = "inner", rows: str = "key_rows", narrow: bool = True) -> DataFrame:
     """Join ``left`` with ``per_key``, which has one row for each ``key`` and in ``rows`` how many rows of ``left`` have it.
 
     Hot keys, of which there can be 1,000 at most, are joined by broadcast where their rows lie; all others are shuffled, and none
     of them holds more than a thousandth of the rows. Both inputs should be written tables, as they are read twice.
+    A ``narrow`` table, of columns of fixed size, is broadcast whole while it has few rows.
     Null keys match nothing; with ``how="left"`` they are kept. ``rows`` isn't returned.
     """
-    total = per_key.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
-    most = max(1000, int(total * HOT_PART))
+    found = per_key.agg(F.count("*").alias("keys"), F.coalesce(F.sum(rows), F.lit(0)).alias("total"), F.coalesce(F.max(rows), F.lit(0)).alias("most")).first()
+    if narrow and found["keys"] <= BROADCAST_ROWS:
+        return left.join(F.broadcast(per_key.drop(rows)), key, how)
+    most = max(1000, int(found.total * HOT_PART))
     hot = per_key.filter(F.col(rows) > most)
     cold = per_key.filter(F.col(rows) <= most).drop(rows)
+    if how == "inner" and found.most <= most:
+        return left.join(cold, key)
     hit = left.join(F.broadcast(hot.drop(rows)), key, "inner")
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
     if how == "left":
@@ -32,15 +46,6 @@ def hot_join(left: DataFrame, per_key: DataFrame, key: str, how: str = "inner",
     return hit.unionByName(rest.join(cold, key, how))
 
 
-#: Narrow tables of up to so many rows are broadcast, some 50 MB.
-BROADCAST_ROWS = 500_000
-
-
-def small_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """Join ``left`` with a written table of a few fixed-size columns: by broadcast while it has few rows, by shuffle beyond."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
-
-
 #: ``split_by_bits`` has so many bits, in maps of ``_MAP_BITS`` each: 4 MB in all, whatever the number of keys.
 FILTER_BITS = 1 << 25
 _MAP_BITS = 32_768

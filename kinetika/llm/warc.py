@@ -125,7 +125,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     large = narrow.filter(F.col("size") >= revisit_from).select("page", "sha", "_order", "_salt")
     shared = narrow.filter(F.col("size") >= revisit_from).groupBy("sha").agg(F.max(F.struct("page", "url")).alias("response"), F.count("*").alias("key_rows"))
     shared = materialize(shared.filter("key_rows > 1").select("sha", F.col("response.page").alias("response"), F.col("response.url").alias("response_url"), "key_rows"), "warc-payloads")
-    revisits = hot_join(large, shared, "sha").filter(~F.col("page").eqNullSafe(F.col("response"))).select("_order", "_salt", "sha", "response", "response_url").distinct()
+    revisits = hot_join(large, shared, "sha", narrow=False).filter(~F.col("page").eqNullSafe(F.col("response"))).select("_order", "_salt", "sha", "response", "response_url").distinct()
     total = narrow.agg(F.coalesce(F.sum(F.col("size") + 512), F.lit(0))).first()[0]
     bounds = range_bounds(narrow, "_order", "_salt", F.col("size") + 512, max(1, -(-int(total) // shard_bytes)))
     # Marks of revisits travel with the pages, so the payloads are shuffled once.

@@ -78,7 +78,9 @@ def test_slices_hold_whole_rows():
     assert points.tolist() == [0x1F600, ord("b")] and offsets.tolist() == [0, 0, 0, 2]
 
 
-def test_hot_join_loses_nothing(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_hot_join_loses_nothing(spark, monkeypatch, few):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", few)
     left = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(3000)] + [(5000, None)], "a long, k long")
     right = left.filter("k is not null").groupBy("k").agg(F.count("*").alias("key_rows"), F.min("a").alias("m"))
     expected = sorted(map(tuple, left.join(right.drop("key_rows"), "k").select("a", "k", "m").collect()))
@@ -107,7 +109,9 @@ def test_split_by_bits_keeps_all_that_match(spark, monkeypatch):
     assert skew.split_by_bits(left, keys.limit(0), ["a", "b"])[1].count() == 500
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "LOCAL_EDGES", few)  # 0: by star contraction
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)] + [(7, 7)]
     parent = {}
@@ -218,7 +222,7 @@ def test_trie_edges_tie_what_shares_a_prefix():
     alike = np.concatenate([paths, nodes, np.zeros((n, 8), np.uint8)], axis=1)
     u, v, common = ngram_join.trie_edges(alike, depth, shortest, 0.6, window, 0, n)
     for length in (4, 3, 2):  # prefixes of each length make the same groups as edges that have as much in common
-        root = ngram_join._roots(n, u[common >= length], v[common >= length])
+        root = components.least_members(n, u[common >= length], v[common >= length])
         groups = defaultdict(set)
         for i in range(n):
             groups[paths[i, : 1 + length].tobytes()].add(int(root[i]))
@@ -232,6 +236,19 @@ def test_trie_edges_tie_what_shares_a_prefix():
     assert all(len(tied[p]) == (c if c > window + 1 else 0) for p, c in size.items())
 
 
+def test_stars_tie_what_edges_tie():
+    rng = np.random.default_rng(7)
+    nodes = rng.choice(10**12, 80, replace=False)
+    edges = (rng.choice(nodes, 60), rng.choice(nodes, 60), rng.choice([6, 7, 8, 9, 10], 60))
+    u, v, common = ngram_join.stars(edges, [10, 8, 6])
+    place = {int(n): i for i, n in enumerate(nodes)}
+    for length in (10, 8, 6):
+        a, b = ([place[int(x)] for x in e[c >= length]] for (e, c) in ((edges[0], edges[2]), (edges[1], edges[2])))
+        c, d = ([place[int(x)] for x in e[common >= length]] for e in (u, v))
+        assert (components.least_members(80, np.array(a, int), np.array(b, int)) == components.least_members(80, np.array(c, int), np.array(d, int))).all()
+    assert len(ngram_join.stars((np.zeros(0, int),) * 3, [10, 6])[0]) == 0 and set(common.tolist()) <= {10, 8, 6}
+
+
 def test_edges_across_ranges(spark):
     from kinetika.session import materialize
 
@@ -242,13 +259,13 @@ def test_edges_across_ranges(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
-        edges = ngram_join.forest_edges(materialize(spark.createDataFrame(rows, "node long, forest binary"), "n"), trees, depth, 2, 0.9, 3).collect()
+        edges = ngram_join.forest_edges(materialize(spark.createDataFrame(rows, "node long, forest binary"), "n"), trees, depth, [4, 3, 2], 0.9, 3).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     for length in (4, 3, 2):
         kept = [e for e in edges if e.common >= length]
-        root = ngram_join._roots(400, np.array([e.u for e in kept]), np.array([e.v for e in kept]))
-        expected = ngram_join._roots(400, *np.array([(a, b) for t in range(trees) for p in {f[t * depth : t * depth + length].tobytes() for f in forest} for m in [[i for i in range(400) if forest[i, t * depth : t * depth + length].tobytes() == p]] for a, b in zip(m, m[1:], strict=False)]).T)
+        root = components.least_members(400, np.array([e.u for e in kept]), np.array([e.v for e in kept]))
+        expected = components.least_members(400, *np.array([(a, b) for t in range(trees) for p in {f[t * depth : t * depth + length].tobytes() for f in forest} for m in [[i for i in range(400) if forest[i, t * depth : t * depth + length].tobytes() == p]] for a, b in zip(m, m[1:], strict=False)]).T)
         assert (root == expected).all(), length
 
 
@@ -969,7 +986,7 @@ def test_ordinary_tokens_are_rarely_reported(spark):
         token = joint.join(rng.choice(words).title() if rng.random() < 0.3 else rng.choice(words) for _ in range(n)) + rng.choice(["", joint]) + str(rng.randint(1, 9999))
         plain.append(token)
     secrets = random_tokens(6, secret_scan.ALPHABETS["base62"], [24, 40, 64], 300)
-    rows = [(i, f"see {t} there") for i, t in enumerate(plain)] + [(5000 + i, f"see {t} there") for i, t in enumerate(secrets)] + plain_docs(1000)
+    rows = [(i, f"see {t} there") for i, t in enumerate(plain)] + [(5000 + i, f"see {t} there") for i, t in enumerate(secrets)] + plain_docs(4000)
     out = {r.doc_id: "random" in r.spans for r in secret_scan.report(spark.createDataFrame(rows, DOCS)).collect()}
     wrong, right = sum(out[i] for i in range(1500)), sum(out[5000 + i] for i in range(300))
     assert wrong <= 0.02 * (wrong + right) and right >= 200, (wrong, right)
