@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import kinetika as K
 from kinetika.functions import series as S
 from kinetika.functions.columns import min_max_scaled
-from kinetika.operators import classifiers, cleaning, evaluation, external, features, nmf, ordered, plots, reshape, selection, splitting, tuning
+from kinetika.operators import classifiers, cleaning, evaluation, external, features, nmf, ordered, plots, selection, splitting, tuning
 
 
 def series(spark, values, group="v"):
