@@ -6,7 +6,7 @@ per word. A word is a maximal run of letters and digits, in lower case; a shingl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +24,12 @@ _U64 = np.uint64
 def character_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: is it a letter or digit, is it a letter, its lower case."""
     count = 0x110000
-    chars = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(count)]
-    word = np.fromiter((c.isalnum() for c in chars), bool, count)
-    letter = np.fromiter((c.isalpha() for c in chars), bool, count)
-    lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars), np.uint32, count)
+
+    def each(of: Callable[[str], object], kind: type) -> np.ndarray:
+        return np.fromiter((of(" " if 0xD800 <= c < 0xE000 else chr(c)) for c in range(count)), kind, count)
+
+    word, letter = each(str.isalnum, bool), each(str.isalpha, bool)
+    lower = each(lambda c: ord(x) if len(x := c.lower()) == 1 else ord(c), np.uint32)
     return word, letter, lower
 
 
