@@ -94,6 +94,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 2_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Send ``TEXT_ROWS`` texts to Python at a time, unless the session has a setting of its own: a batch is held whole, outside the heap."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and that nothing reads any more."""
     for table in tables:

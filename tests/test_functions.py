@@ -105,3 +105,16 @@ def test_only_a_local_master_has_a_folder_of_its_own(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Cluster)
     assert session.shared_folder(spark)
+
+
+def test_texts_go_to_python_in_small_batches_unless_the_session_says_otherwise(spark):
+    from kinetika import session
+
+    before = spark.conf.get(session._BATCH, "10000")
+    try:
+        for setting, expected in (("10000", str(session.TEXT_ROWS)), ("77", "77")):
+            spark.conf.set(session._BATCH, setting)
+            session.text_batches(spark)
+            assert spark.conf.get(session._BATCH) == expected
+    finally:
+        spark.conf.set(session._BATCH, before)
