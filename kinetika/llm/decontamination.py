@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetika.llm import textarrays as ta
+from kinetika.session import text_batches
 
 HASHES = 64
 SEED = 5
@@ -114,6 +115,7 @@ def _verified(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex, function
 
 def _indexes(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, items_per_block: int) -> Iterator[list]:
     """Broadcast indexes of the test items, ``BLOCKS_PER_SCAN`` blocks at a time; one at least."""
+    text_batches(docs.sparkSession)
     wanted = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
     size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
     blocks = max(1, -(-size.n // items_per_block), -(-size.bytes // BYTES_PER_BLOCK))

@@ -24,7 +24,7 @@ from kinetika.llm import ngram_join
 from kinetika.llm import textarrays as ta
 from kinetika.llm.components import connected_components
 from kinetika.llm.skew import hot_join, range_bounds, range_of
-from kinetika.session import discard, materialize
+from kinetika.session import discard, materialize, text_batches
 
 HASHES = 128
 SEED = 11
@@ -88,6 +88,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
                 labels = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(label.view(np.int64).ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(digests, pa.binary()), labels], ["doc_id", "text_key", "digest", "forest"])
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), ngram_join.text_key(text).alias("text_key"), F.col(text).alias("text"))
     signed = materialize(rows.mapInArrow(band, "doc_id long, text_key binary, digest binary, forest array<long>"), "banded")
     sets = ngram_join.distinct_sets(signed)
@@ -109,6 +110,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", has
     One range shuffle brings neighbours together; the first row of each range is also dealt to the range before it. ``classes``, as
     ``near_classes`` gives them, travel the same way and add ``near_class`` and ``near_links``.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.coalesce("doc_id", F.lit(-(2**63))).alias("_order")

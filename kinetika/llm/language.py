@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetika.llm import textarrays as ta
+from kinetika.session import text_batches
 
 TRAIN_DOCUMENTS = 96
 TRAIN_CHARACTERS = 16_000
@@ -255,6 +256,7 @@ def unrepeated(passages: list[str], share: int) -> list[str]:
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key, ``lang_pred``, ``score`` (0 to 1) and ``bits`` (a character, of the language chosen) of every row."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +270,7 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
 
 def keep_languages(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` with ``lang`` as predicted, without the rows whose language is ``und``."""
+    text_batches(docs.sparkSession)
     shared, columns, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns, docs.columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

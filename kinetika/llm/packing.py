@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetika.llm import textarrays as ta
-from kinetika.session import materialize
+from kinetika.session import materialize, text_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -81,6 +81,7 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity:
                 arrays = [pa.array(v, kind) for v, kind in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays[: 6 if with_ids else 5], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5])
 
+    text_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("doc_id", key)
 

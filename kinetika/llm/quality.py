@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetika.llm import textarrays as ta
+from kinetika.session import text_batches
 
 PASSAGE_WORDS = 48
 TRAIN_ROWS = 4_000
@@ -241,6 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: AttentionModel | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key and ``score`` (0 to 1, higher: better) of every row."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

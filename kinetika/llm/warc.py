@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetika.llm.skew import hot_join, range_bounds, range_of
-from kinetika.session import materialize, new_folder
+from kinetika.session import materialize, new_folder, text_batches
 
 WARC_DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 64 << 20
@@ -119,6 +119,7 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write one record for each row of ``pages`` to ``folder``; returns the committed manifest."""
+    text_batches(pages.sparkSession)
     rows = pages.select(F.col(key).cast("long").alias("page"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("_order", F.coalesce("page", F.lit(-(2**63)))).withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("_salt", F.xxhash64("sha"))
     narrow = materialize(rows.select("page", "url", "sha", F.octet_length("html").cast("long").alias("size"), "_order", "_salt"), "warc-digests")
