@@ -35,7 +35,9 @@ def native_features(df: DataFrame, group_cols: list[str], order_col: str, value_
     value = missing_to_null(F.col(value_col))
     base = df.select(*group_cols, F.col(order_col).alias("_o"), F.coalesce(value, F.raise_error(F.lit("a series must not have missing values")).cast("double")).alias("x"))
     ordered = whole.orderBy("_o")
-    staged = base.withColumns({"_n": F.count("*").over(whole), "_mean": F.avg("x").over(whole), "_first": F.first("x").over(ordered), "_t": F.row_number().over(ordered) - 1, "_prev": F.lag("x").over(ordered), "_next": F.lead("x").over(ordered)})
+    # Sums of doubles depend on their order in the last bits, and so does whether a value that equals the mean lies above it: add in the series' order.
+    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    staged = base.withColumns({"_n": F.count("*").over(whole), "_mean": F.avg("x").over(every), "_first": F.first("x").over(ordered), "_t": F.row_number().over(ordered) - 1, "_prev": F.lag("x").over(ordered), "_next": F.lead("x").over(ordered)})
     limit = F.median("x").over(whole) if activation_threshold == "median" else F.col("_mean") if activation_threshold == "mean" else F.lit(float(activation_threshold))
     staged = staged.withColumns({"_c": F.col("x") - F.col("_mean"), "_above": F.col("x") > F.col("_mean"), "_active": F.col("x") > limit})
     lags = {f"_p{k}": F.col("_c") * F.lag("_c", k).over(ordered) for k in range(1, 11)}

@@ -77,6 +77,26 @@ def test_queries_match_sql(spark):
         assert rows(made.select(columns).collect()) == rows(con.sql(f"SELECT {quoted} FROM ({SQL[name]})").fetchall()), name
 
 
+def test_values_equal_to_the_mean_match_sql(spark, tmp_path):
+    """Whether these values lie above the mean depends on its last bit, and so on the order in which it is summed."""
+    from kinetika.queries import QUERIES, SQL
+
+    series = [
+        [77.35, 169.59, 126.61, 51.63, 153.54, 49.46, 113.22, 50.11, 154.52, 61.32, 151.47, 199.82],
+        [48.43, 7.83, 27.58, 166.74, 74.73, 87.47, 79.21, 110.13, 63.14, 78.77, 54.55, 6.83, 86.64, 32.24, 26.54, 59.41],
+    ]
+    rows = [(100 * u + i, u, v) for u, x in enumerate(series) for i, v in enumerate(x)]
+    spark.createDataFrame(rows[::-1], "event_id long, user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("features_activation", "features_trend", "features_all"):
+        made = QUERIES[name](spark, str(tmp_path)).orderBy("user_id")
+        quoted = ", ".join(f'"{c}"' for c in made.columns)
+        expected = con.sql(f"SELECT {quoted} FROM ({SQL[name]}) ORDER BY user_id").fetchall()
+        for r, e in zip(made.collect(), expected, strict=True):
+            assert tuple(r) == pytest.approx(e, abs=1e-9), name
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
