@@ -89,7 +89,7 @@ def test_values_equal_to_the_mean_match_sql(spark, tmp_path):
     spark.createDataFrame(rows[::-1], "event_id long, user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
-    for name in ("features_activation", "features_trend", "features_all"):
+    for name in ("features_activation", "features_trend", "features_of_arrays", "features_all"):
         made = QUERIES[name](spark, str(tmp_path)).orderBy("user_id")
         quoted = ", ".join(f'"{c}"' for c in made.columns)
         expected = con.sql(f"SELECT {quoted} FROM ({SQL[name]}) ORDER BY user_id").fetchall()
