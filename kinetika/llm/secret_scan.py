@@ -8,8 +8,8 @@ encoding would look like: chi-squared uniformity over the alphabet, the same ove
 below the middle of the alphabet, the number of runs of digits and of others, and the lag-one serial correlation. The least of the
 five p-values, times five, says how random a candidate looks.
 
-A discovery is a random token among ordinary text, so ordinary text is the null hypothesis. Stretches of the corpus's own text without its
-candidates, squeezed to letters and digits and ended by a number, go through the same battery. Their counts by length class, encoding and
+A discovery is a random token among ordinary text, so ordinary text is the null hypothesis. The corpus's whole text without its
+candidates, squeezed to letters and digits and cut into stretches that end with a number, goes through the same battery. Their counts by length class, encoding and
 outcome give every candidate a p-value: how often ordinary text of this length class looks like that encoding and as random. Within each
 length class Benjamini-Hochberg over all candidates holds the rate of false discoveries at ``FALSE_DISCOVERY``, so short tokens, on
 which the tests are weak, compete with short ones alone. A corpus with too little text to tell reports none.
@@ -21,6 +21,7 @@ input columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -40,10 +41,13 @@ FALSE_DISCOVERY = 0.01
 RANDOM_LEVEL = 0.001
 #: Length classes begin at so many characters.
 CLASS_STARTS = (20, 32, 48, 80)
-#: Ordinary text is tested once in so many of its characters, and once in every text, on what so many of them hold.
-STRETCH, PIECE = 2000, 240
 _PART = 1000
 _BIN, _BINS = 4, 400
+#: The last bin that isn't rejected.
+LAST_BIN = int(-math.log(RANDOM_LEVEL) * _BIN)
+#: So many stretches of ordinary text are cut out at once, and then one by one.
+_TOGETHER = 64
+_SPANS = "array<struct<class:int,encoding:int,bin:int>>"
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALPHABETS = {"hex": _DIGIT + "abcdef", "base32": _UPPER + "234567", "base36": _DIGIT + _LOWER, "base62": _UPPER + _LOWER + _DIGIT, "base64": _UPPER + _LOWER + _DIGIT + "+/", "base64url": _UPPER + _LOWER + _DIGIT + "-_"}
 
@@ -135,30 +139,43 @@ def reported(runs: Column, is_found: Callable[[Column], Column]) -> Column:
     return F.flatten(F.transform(runs, of_run))
 
 
+def _numbered(length: int, digits: int) -> bool:
+    """Does the test of digit runs alone reject ``length`` characters whose last ``digits`` are their only digits? Clearly, so rounding doesn't matter."""
+    mean = 1 + 2 * digits * (length - digits) / length
+    z = (2 - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (length - 1), 1e-9))
+    return 5 * math.erfc(abs(z) / math.sqrt(2)) < 0.8 * math.exp(-(LAST_BIN + 1) / _BIN)
+
+
 def ordinary(text: Column) -> Column:
-    """How random ordinary text looks: structs of length class, encoding and bin, null where it has none.
+    """How random ordinary text looks: ``stretches``, how many there are by length class, and ``close``, structs of length class, encoding and
+    bin of those that the battery doesn't reject.
 
-    The text, read on from a place that its hash gives and then from its beginning, is cut into parts of ``STRETCH`` characters. The first
-    ``PIECE`` of each, without candidates and all but letters and digits, make a stretch of the least length of each class as far as they
-    go, which ends with the number of characters of the text, as names with numbers do.
+    The whole text, without candidates and all but letters and digits, is cut for each class into stretches that have the least length of the
+    class when the number of characters of the text ends each, as names with numbers do; what is left at the end is shorter than a
+    stretch. Letters with nothing but a number of three digits at their end are rejected by the runs of digits alone, so these are only counted.
     """
-    turn = F.pmod(F.xxhash64(text), F.greatest(F.length(text), F.lit(1))).cast("int")
-    read_on = F.concat(F.substring(text, turn + 1, F.length(text)), F.left(text, turn))
-    pieces = F.regexp_extract_all(read_on, F.lit(f"(?s)(.{{{LEAST_CANDIDATE},{PIECE}}}).{{0,{STRETCH - PIECE}}}"), F.lit(1))
-    parts = F.transform(pieces, lambda p: F.regexp_replace(F.regexp_replace(p, CANDIDATE, " "), "[^A-Za-z0-9]+", ""))
+    squeezed = F.regexp_replace(F.regexp_replace(text, CANDIDATE, " "), "[^A-Za-z0-9]+", "")
+
+    def of_class(t: Column, i: int, least: int) -> Column:
+        width = F.lit(least) - F.length(t["number"])
+        one = F.concat(F.lit(".{"), width.cast("string"), F.lit("}"))
+        many = F.concat(F.lit(".{"), width.cast("string"), F.lit(","), (width * _TOGETHER).cast("string"), F.lit("}"))
+        rejected = F.length(t["number"]).isin([d for d in range(1, 11) if _numbered(least, d)])
+
+        def tested(token: Column) -> Column:
+            return _let(randomness(F.concat(token, t["number"])), lambda r: F.struct(F.lit(i).alias("class"), r["encoding"].alias("encoding"), _bin(r["p"]).alias("bin")))
 
-    def with_number(number: Column) -> Column:
-        def tested(part: Column) -> Column:
-            def of_class(i: int, least: int) -> Column:
-                token = F.concat(F.left(part, least - F.length(number)), number)
-                found = _let(randomness(token), lambda r: F.struct(F.lit(i).alias("class"), r["encoding"].alias("encoding"), _bin(r["p"]).alias("bin")))
-                return F.when(F.length(part) >= least, found)
+        def of_part(part: Column) -> Column:
+            open_ = F.filter(F.regexp_extract_all(part, one, F.lit(0)), lambda x: ~rejected | x.rlike("[0-9]"))
+            return F.when(~rejected | part.rlike("[0-9]"), F.filter(F.transform(open_, tested), lambda x: x["bin"] <= LAST_BIN)).otherwise(F.array().cast(_SPANS))
 
-            return F.filter(F.array(*[of_class(i, least) for i, least in enumerate(CLASS_STARTS)]), lambda x: x.isNotNull())
+        return F.flatten(F.transform(F.regexp_extract_all(t["text"], many, F.lit(0)), of_part))
 
-        return F.flatten(F.transform(parts, tested))
+    def of_text(t: Column) -> Column:
+        counts = [F.floor(F.length(t["text"]) / (least - F.length(t["number"]))).cast("long") for least in CLASS_STARTS]
+        return F.struct(F.array(*counts).alias("stretches"), F.concat(*[of_class(t, i, least) for i, least in enumerate(CLASS_STARTS)]).alias("close"))
 
-    return _let(F.length(text).cast("string"), with_number)
+    return _let(F.struct(squeezed.alias("text"), F.length(text).cast("string").alias("number")), of_text)
 
 
 def _two_sided(z: Column) -> Column:
@@ -281,7 +298,7 @@ def ordinary_p(plain: np.ndarray) -> np.ndarray:
     random or more so; the p-value is the share of stretches in cells as rare as this one, with one added to both counts. What the battery
     holds not to be random, at ``RANDOM_LEVEL``, and what has no encoding has p-value 1.
     """
-    last = int(-np.log(RANDOM_LEVEL) * _BIN)
+    last = LAST_BIN
     tail = np.cumsum(plain[:-1, : last + 1], axis=1)
     order = np.argsort(tail, axis=None, kind="stable")
     rarity, held = tail.ravel()[order], np.cumsum(plain[:-1, : last + 1].ravel()[order])
@@ -325,7 +342,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float =
     )
     every = F.flatten(F.transform("runs", lambda r: F.concat(r["marked"], F.flatten(F.transform(r["plain"], lambda p: F.concat(F.array(p["whole"]), F.coalesce(p["inner"], F.slice(F.array(p["whole"]), 1, 0))))))))
     found = _counts(tested.filter(F.size("runs") > 0).select(F.explode(every).alias("s")).select("s.class", "s.encoding", "s.bin"))
-    plain = _counts(tested.filter(F.size("ordinary") > 0).select(F.explode("ordinary").alias("s")).select("s.class", "s.encoding", "s.bin"))
+    plain = _counts(tested.filter(F.size("ordinary.close") > 0).select(F.explode("ordinary.close").alias("s")).select("s.class", "s.encoding", "s.bin"))
+    stretches = tested.agg(*[F.coalesce(F.sum(F.get("ordinary.stretches", F.lit(i))), F.lit(0)) for i in range(len(CLASS_STARTS))]).first()
+    plain[:, -1, -1] += np.array(stretches) - plain.sum(axis=(1, 2))  # the others are rejected or have no encoding
     limit = F.array(*[F.array(*[F.lit(int(x)) for x in row]) for row in discovery_limits(found, plain, rate)])
     random = F.transform(
         reported(F.col("runs"), lambda s: F.coalesce(s["bin"] <= F.get(F.get(limit, s["class"]), s["encoding"]), F.lit(False))),

@@ -992,6 +992,23 @@ def test_ordinary_tokens_are_rarely_reported(spark):
     assert wrong <= 0.02 * (wrong + right) and right >= 200, (wrong, right)
 
 
+def test_all_ordinary_text_is_counted(spark):
+    rng = random.Random(11)
+    texts = [prose(i, n) for i, n in enumerate([3, 12, 40, 900, 3000])] + [prose(7, 600).replace("a", "7").replace("e", "Q"), "x1 y2 " * 900, "", "12 34 " * 40, "Ab3" * 5, "see " + random_tokens(6, secret_scan.ALPHABETS["base62"], [40], 1)[0] + " " + prose(9, 200)]
+    texts += ["".join(rng.choice("abc012 .,") for _ in range(n)) for n in (60, 99, 100, 2500)]
+    stretches = []
+    for t in texts:
+        kept, number = re.sub("[^A-Za-z0-9]+", "", re.sub(secret_scan.CANDIDATE, " ", t)), str(len(t))
+        for i, least in enumerate(secret_scan.CLASS_STARTS):
+            width = least - len(number)
+            stretches += [(i, kept[a : a + width] + number) for a in range(0, len(kept) - width + 1, width)]
+    known = spark.createDataFrame(stretches, "class int, token string").withColumn("r", secret_scan.randomness(F.col("token"))).select("class", "r.encoding", secret_scan._bin(F.col("r.p")).alias("bin")).collect()
+    total, close = Counter(r["class"] for r in known), Counter((r["class"], r.encoding, r.bin) for r in known if r.bin is not None and r.bin <= secret_scan.LAST_BIN)
+    got = [r.o for r in spark.createDataFrame([(t,) for t in texts], "text string").select(secret_scan.ordinary(F.col("text")).alias("o")).collect()]
+    assert [sum(o.stretches[i] for o in got) for i in range(len(secret_scan.CLASS_STARTS))] == [total[i] for i in range(len(secret_scan.CLASS_STARTS))]
+    assert Counter((s["class"], s.encoding, s.bin) for o in got for s in o.close) == close and sum(close.values()) > 50 and len(known) > 2 * sum(close.values())
+
+
 def test_secrets_in_very_long_texts(spark):
     import time
 
